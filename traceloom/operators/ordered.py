@@ -28,13 +28,15 @@ def ordered_scan(
     sums: Mapping[str, str] | None = None,
     lags: Mapping[str, str] | None = None,
     leads: Mapping[str, str] | None = None,
+    last_known: Mapping[str, str] | None = None,
+    next_known: Mapping[str, str] | None = None,
     row_number: str | None = None,
     slices: WidthSlices | QuantileSlices | None = None,
 ) -> DataFrame:
     """Add running columns along ``order`` within each combination of ``keys``.
 
-    ``sums``, ``lags`` and ``leads`` map a new column to its source column; ``sums`` include the current
-    row. ``order`` must be unique within the keys, or be made so by ``tie`` (both integers). Without
+    Each mapping gives a new column its source column. ``sums`` include the current row, ``last_known`` and
+    ``next_known`` take the nearest non-NULL value at or before, and at or after it. ``order`` must be unique within the keys, or be made so by ``tie`` (both integers). Without
     ``slices`` a unique order is cut by width, a tied one at quantiles.
     """
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
@@ -88,6 +90,23 @@ def ordered_scan(
         for out in leads:
             final[out] = F.coalesce(F.col("_lead"), F.col("_after"))[out]
 
+    for out, src in dict(last_known or {}).items():
+        local[f"_p_{out}"] = F.last(src, ignorenulls=True).over(running)
+        totals.append(F.max_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"_pt_{out}"))
+        carried.append(F.last(f"_pt_{out}", ignorenulls=True).over(before).alias(f"_pc_{out}"))
+        final[out] = F.coalesce(F.col(f"_p_{out}"), F.col(f"_pc_{out}"))
+    # Looking ahead is looking back along the reversed order; a frame up to the last row would be quadratic.
+    reverse = [c.desc() for c in place]
+    ahead = Window.partitionBy("_group", "_slice").orderBy(*reverse)
+    ahead = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("_group").orderBy(F.col("_slice").desc())
+    after = after.rowsBetween(Window.unboundedPreceding, -1)
+    for out, src in dict(next_known or {}).items():
+        local[f"_q_{out}"] = F.last(src, ignorenulls=True).over(ahead)
+        totals.append(F.min_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"_qt_{out}"))
+        carried.append(F.last(f"_qt_{out}", ignorenulls=True).over(after).alias(f"_qc_{out}"))
+        final[out] = F.coalesce(F.col(f"_q_{out}"), F.col(f"_qc_{out}"))
+
     summary = df.groupBy("_group", "_slice").agg(*totals).select("_group", "_slice", *carried)
     columns = [c for c in df.columns if c not in ("_group", "_slice")]
     scanned = df.withColumns(local).join(summary, ["_group", "_slice"])

@@ -16,17 +16,18 @@ UNHANDLED = "unhandled"
 
 def unsigned(raw: Column, offset: int, size: int) -> Column:
     """Little-endian unsigned integer of up to four bytes at ``offset``, as a long."""
-    return F.conv(F.hex(F.reverse(_bytes(raw, offset, size))), 16, 10).cast("long")
+    return F.conv(F.hex(_big_endian(raw, offset, size)), 16, 10).cast("long")
 
 
 def signed64(raw: Column, offset: int) -> Column:
     """Eight little-endian bytes at ``offset`` as a long with the same bits."""
-    return F.conv(F.hex(F.reverse(_bytes(raw, offset, 8))), 16, -10).cast("long")
+    return F.conv(F.hex(_big_endian(raw, offset, 8)), 16, -10).cast("long")
 
 
-def _bytes(raw: Column, offset: int, size: int) -> Column:
-    # ``reverse`` works on text and arrays, so go through one character per byte.
-    return F.decode(F.substring(raw, offset + 1, size), "ISO-8859-1")
+def _big_endian(raw: Column, offset: int, size: int) -> Column:
+    # ``reverse`` works on text, so go through one character per byte.
+    text = F.decode(F.substring(raw, offset + 1, size), "ISO-8859-1")
+    return F.encode(F.reverse(text), "ISO-8859-1")
 
 
 def bits(value: Column, shift: int, mask: int) -> Column:
