@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.plans.lookups import look_up
+from traceloom.session import materialise
 from traceloom.sources.schemas import conform, with_unknown
 
 KERNEL_DSO = 26
@@ -174,41 +175,33 @@ class Fixture:
     def frames(self) -> DataFrame:
         """Calls with the name of their function, before symbols are numbered."""
         n, t, length = F.col("id"), F.col("time"), (F.col("id") % 997 + 10) * 1000
-        who = ["user_id", "k", n.alias("sample_id")]
-        level = F.col("l")
-        syscalls = self.ev.filter(F.col("event_type") != "purchase").select(
-            "id", "time", "user_id", "k", "event_type", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("l")
-        )
-        name = (
-            F.when(level == 0, F.concat(F.lit("__x64_sys_"), F.col("event_type")))
-            .when(level == 1, "x64_sys_call")
-            .when(level == 2, "do_syscall_64")
-            .otherwise("entry_SYSCALL_64")
-        )
-        stacked = syscalls.select(
-            (n * 4 + level).alias("id"),
-            F.when(level == 3, F.lit(0).cast("long")).otherwise(n * 4 + level + 1).alias("parent_id"),
-            (t - level).alias("call_time"),
-            (t + length + level).alias("return_time"),
-            name.alias("name"),
-            *who,
-            level.cast("long").alias("branch_count"),
-        )
-        switch = self.ev.filter(F.col("event_type") == "purchase")
-        base = n * 2 + 10_000_000_000
-
-        def half(step: int, function: str) -> DataFrame:
-            return switch.select(
-                (base + step).alias("id"),
-                F.lit(0).cast("long").alias("parent_id"),
-                (t + 500 * step).alias("call_time"),
-                (t + 500 * step + 400).alias("return_time"),
-                F.lit(function).alias("name"),
-                *who,
-                F.lit(0).cast("long").alias("branch_count"),
+
+        def frame(number: Column, parent: Column, start: Column, end: Column, name: Column, level: int) -> Column:
+            return F.struct(
+                number.alias("id"),
+                parent.cast("long").alias("parent_id"),
+                start.alias("call_time"),
+                end.alias("return_time"),
+                name.alias("name"),
+                F.lit(level).cast("long").alias("branch_count"),
             )
 
-        return stacked.unionByName(half(0, "prepare_task_switch")).unionByName(half(1, "switch_mm_irqs_off"))
+        names = [
+            F.concat(F.lit("__x64_sys_"), F.col("event_type")),
+            F.lit("x64_sys_call"),
+            F.lit("do_syscall_64"),
+            F.lit("entry_SYSCALL_64"),
+        ]
+        stack = [
+            frame(n * 4 + i, n * 4 + i + 1 if i < 3 else F.lit(0), t - i, t + length + i, name, i)
+            for i, name in enumerate(names)
+        ]
+        switch = [
+            frame(n * 2 + 10_000_000_000 + i, F.lit(0), t + 500 * i, t + 500 * i + 400, F.lit(name), 0)
+            for i, name in enumerate(("prepare_task_switch", "switch_mm_irqs_off"))
+        ]
+        made = F.when(F.col("event_type") == "purchase", F.array(*switch)).otherwise(F.array(*stack))
+        return self.ev.select(n.alias("sample_id"), "user_id", "k", F.inline(made))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -229,7 +222,8 @@ class Fixture:
             (n % 3).alias("binding"),
             "name",
         )
-        return with_unknown(conform(rows, "symbols"), "symbols")
+        # Stored, as the raw tables of a trace are; the plans read them several times.
+        return materialise(with_unknown(conform(rows, "symbols"), "symbols"), "symbols")
 
     @cached_property
     def call_paths(self) -> DataFrame:
@@ -261,7 +255,7 @@ class Fixture:
             (F.col("id") % 5).alias("cyc_count"),
         )
         root = self.spark.range(1).select(*[F.lit(0).alias(c) for c in numbered.columns])
-        return conform(numbered.unionByName(root), "calls")
+        return materialise(conform(numbered.unionByName(root), "calls"), "calls")
 
     @cached_property
     def packets(self) -> DataFrame:

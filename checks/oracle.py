@@ -200,6 +200,7 @@ BODIES["stack_summary"] = """
 select * replace (array_to_string(symbol_list, ',') as symbol_list) from summary
 """
 BODIES["full_syscalls"] = "select * from syscalls"
+BODIES["full_syscalls_near_view"] = "select * from syscalls"
 BODIES["whole_syscalls"] = "select * from whole_syscalls"
 BODIES["kernel_context_switches"] = "select * from switches"
 BODIES["next_switch"] = """
@@ -352,8 +353,8 @@ from (select bucket, cyc, cast(insn_count * cyc as double) / cyc_count as insns
 group by bucket
 """
 BODIES["event_aligned_ipc"] = """
-select offset_bucket, round(sum(insn_count * share), 4) as insns, round(sum(cyc_count * share), 4) as cycles,
-  round(sum(insn_count * share) / sum(cyc_count * share), 4) as ipc
+select offset_bucket, round(sum(insn_count * share), 2) as insns, round(sum(cyc_count * share), 2) as cycles,
+  round(sum(insn_count * share) / sum(cyc_count * share), 2) as ipc
 from (select b as offset_bucket, insn_count, cyc_count,
     cast(least(r.end_time, c.time + (b + 1) * 300000000) - greatest(r.start_time, c.time + b * 300000000) as double)
       / (r.end_time - r.start_time) as share

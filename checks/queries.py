@@ -49,8 +49,20 @@ def call_stacks(f: Fixture) -> DataFrame:
     return timeline.stacks(f.calls, f.call_paths, f.symbols, f.dsos)
 
 
-def stored_syscalls(f: Fixture, v: ranges.View | None) -> DataFrame:
-    return materialise(timeline.full_syscalls(call_stacks(f), v), "syscalls")
+def stored_syscalls(f: Fixture, v: ranges.View) -> DataFrame:
+    """System calls in view, from the stacks near it."""
+    near = timeline.calls_near(f.calls, v)
+    return materialise(
+        timeline.full_syscalls(timeline.stacks(near, f.call_paths, f.symbols, f.dsos), v), "syscalls"
+    )
+
+
+def whole_syscalls(f: Fixture) -> DataFrame:
+    """System calls of the whole trace; four frames decide, so the stacks need not be complete."""
+    named = timeline.calls_with_symbols(f.calls, f.call_paths, f.symbols, f.dsos)
+    frames = materialise(named.select("id", "parent_id", *timeline.FRAME), "frames")
+    short = ancestor_chains(frames, columns=timeline.FRAME, max_depth=timeline.ENTRY_DEPTH)
+    return timeline.full_syscalls(short, None)
 
 
 def kernel_switches(f: Fixture) -> DataFrame:
@@ -355,13 +367,14 @@ def _(f: Fixture) -> DataFrame:
     return timeline.full_syscalls(call_stacks(f), view(f))
 
 
+@query("full_syscalls_near_view")
+def _(f: Fixture) -> DataFrame:
+    return stored_syscalls(f, view(f))
+
+
 @query("whole_syscalls")
 def _(f: Fixture) -> DataFrame:
-    named = timeline.calls_with_symbols(f.calls, f.call_paths, f.symbols, f.dsos)
-    short = ancestor_chains(
-        named, columns=["call_time", "return_time", "symbol", "dso"], max_depth=timeline.ENTRY_DEPTH
-    )
-    return timeline.full_syscalls(short, None)
+    return whole_syscalls(f)
 
 
 @query("kernel_context_switches")
@@ -388,7 +401,7 @@ def _(f: Fixture) -> DataFrame:
 
 @query("start_end_pairing")
 def _(f: Fixture) -> DataFrame:
-    syscalls = materialise(timeline.full_syscalls(call_stacks(f), None), "syscalls")
+    syscalls = materialise(whole_syscalls(f), "syscalls")
     starts = syscalls.select(F.col("call_id").alias("start_id"), F.col("call_time").alias("start_time"))
     return asof_join(
         starts,
@@ -428,11 +441,8 @@ def _(f: Fixture) -> DataFrame:
 
 @query("spans_by_label")
 def _(f: Fixture) -> DataFrame:
-    return timeline.spans_by_label(
-        timeline.full_syscalls(call_stacks(f), view(f)).withColumnRenamed("syscall_kernel_name", "name"),
-        "call_time",
-        "return_time",
-    )
+    named = stored_syscalls(f, view(f)).withColumnRenamed("syscall_kernel_name", "name")
+    return timeline.spans_by_label(named, "call_time", "return_time")
 
 
 @query("errors_and_ranges")
@@ -459,7 +469,7 @@ def _(f: Fixture) -> DataFrame:
 
 
 def latencies(f: Fixture) -> DataFrame:
-    return timeline.iteration_latency(stored_syscalls(f, None), LATENCY_CALLS, rows_per_slice=SLICE_ROWS)
+    return timeline.iteration_latency(materialise(whole_syscalls(f), "syscalls"), LATENCY_CALLS, rows_per_slice=SLICE_ROWS)
 
 
 @query("iteration_latency")
@@ -679,7 +689,7 @@ def _(f: Fixture) -> DataFrame:
     aligned = overlays.event_aligned_ipc(
         fixture_ranges(f), f.context_switches.select("time"), 60 * minute, 60 * minute, 5 * minute
     )
-    return aligned.withColumns({c: F.round(c, 4) for c in ("insns", "cycles", "ipc")})
+    return aligned.withColumns({c: F.round(c, 2) for c in ("insns", "cycles", "ipc")})
 
 
 @query("zero_fill_gaps")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def ancestor_chains(
     Chains double in each round: a node appends the chain of the last ancestor it knows. A stack of
     depth ``d`` takes ``log2(d)`` joins instead of ``d``. Finished chains leave the join, and the root,
     the one parent that nearly everything shares, is appended from a single broadcast row instead of
-    being a join key. Rounds are stored, so losing an executor never repeats earlier ones.
+    being a join key. Each round stores the chains it grew, so losing an executor never repeats earlier
+    rounds and a finished chain is written once. ``nodes`` is read several times: pass a stored table.
     """
     element = F.struct(
         F.col(node).cast("long").alias("id"),
@@ -51,33 +53,36 @@ def ancestor_chains(
     )
     if max_depth is not None:
         for _ in range(math.ceil(math.log2(max_depth + 1))):
-            state = _double(state)
+            state = _done(state).unionByName(_doubled(_open(state), state))
         return state.select("id", F.slice("chain", 1, max_depth + 1).alias("chain"))
-    state = materialise(state, "chains")
+    finished, pending, known = [_done(state)], _open(state), state
     for _ in range(MAX_ROUNDS):
-        if state.filter(F.col("_next").isNotNull()).isEmpty():
-            return state.select("id", "chain")
-        state = materialise(_double(state), "chains")
+        grown = materialise(_doubled(pending, known), "chains")
+        finished.append(_done(grown))
+        pending = _open(grown)
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, finished).select("id", "chain")
+        known = reduce(DataFrame.unionByName, [*finished, pending])
     raise ValueError("parent pointers form a cycle")
 
 
-def _double(state: DataFrame) -> DataFrame:
-    done = state.filter(F.col("_next").isNull())
-    known = state.select(
+def _open(state: DataFrame) -> DataFrame:
+    return state.filter(F.col("_next").isNotNull())
+
+
+def _done(state: DataFrame) -> DataFrame:
+    return state.filter(F.col("_next").isNull())
+
+
+def _doubled(pending: DataFrame, known: DataFrame) -> DataFrame:
+    more = known.select(
         F.col("id").alias("_next"), F.col("chain").alias("_more"), F.col("_next").alias("_then")
     )
-    grown = (
-        state.filter(F.col("_next").isNotNull())
-        .join(known, "_next", "left")
-        .select(
-            "id",
-            F.when(F.col("_more").isNull(), F.col("chain"))
-            .otherwise(F.concat("chain", "_more"))
-            .alias("chain"),
-            F.col("_then").alias("_next"),
-        )
+    return pending.join(more, "_next", "left").select(
+        "id",
+        F.when(F.col("_more").isNull(), F.col("chain")).otherwise(F.concat("chain", "_more")).alias("chain"),
+        F.col("_then").alias("_next"),
     )
-    return done.unionByName(grown)
 
 
 def closure(chains: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

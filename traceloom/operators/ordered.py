@@ -30,13 +30,15 @@ def ordered_scan(
     leads: Mapping[str, str] | None = None,
     last_known: Mapping[str, str] | None = None,
     next_known: Mapping[str, str] | None = None,
+    lows: Mapping[str, str] | None = None,
     row_number: str | None = None,
     slices: WidthSlices | QuantileSlices | None = None,
 ) -> DataFrame:
     """Add running columns along ``order`` within each combination of ``keys``.
 
     Each mapping gives a new column its source column. ``sums`` include the current row, ``last_known`` and
-    ``next_known`` take the nearest non-NULL value at or before, and at or after it. ``order`` must be unique within the keys, or be made so by ``tie`` (both integers). Without
+    ``next_known`` take the nearest non-NULL value at or before, and at or after it; ``lows`` are the minimum
+    over the whole group. ``order`` must be unique within the keys, or be made so by ``tie`` (both integers). Without
     ``slices`` a unique order is cut by width, a tied one at quantiles.
     """
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
@@ -69,6 +71,10 @@ def ordered_scan(
         carried.append(F.sum(f"_t_{out}").over(before).alias(f"_c_{out}"))
         here, earlier = F.col(f"_s_{out}"), F.col(f"_c_{out}")
         final[out] = F.coalesce(here + earlier, here, earlier)
+    for out, src in dict(lows or {}).items():
+        totals.append(F.min(src).alias(f"_m_{out}"))
+        carried.append(F.min(f"_m_{out}").over(Window.partitionBy("_group")).alias(f"_mc_{out}"))
+        final[out] = F.col(f"_mc_{out}")
     if row_number:
         local["_n"] = F.row_number().over(along)
         totals.append(F.count(F.lit(1)).alias("_tn"))

@@ -21,16 +21,6 @@ def timestamped_samples(samples: DataFrame) -> DataFrame:
     return samples.filter((F.col("insn_count") > 0) | (F.col("cyc_count") > 0))
 
 
-def per_group(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach one row of ``totals`` per combination of ``keys``; without keys it is a scalar subquery."""
-    columns = [c for c in totals.columns if c not in keys]
-    if not keys:
-        return df.withColumns({c: totals.select(c).scalar() for c in columns})
-    renamed = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], *columns)
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(renamed, same).drop(*[f"_{k}" for k in keys])
-
-
 def timestamped_ranges(
     samples: DataFrame,
     *,
@@ -46,18 +36,18 @@ def timestamped_ranges(
     kept = timestamped_samples(samples).select(
         *keys, "id", "time", "insn_count", "cyc_count", *[n for n in names if n not in keys]
     )
-    first = kept.groupBy(*keys).agg(F.min("time").alias("_first"))
     scanned = ordered_scan(
         kept,
         "id",
         keys=keys,
         sums={"end_cum_insns": "insn_count", "end_cum_cyc": "cyc_count"},
         lags={"start_sample_id": "id", "start_time": "time"},
+        lows={"_first": "time"},
         row_number="end_sample_row_number",
         slices=slices,
     )
     started = F.col("end_sample_row_number") > 1
-    return per_group(scanned, first, keys).select(
+    return scanned.select(
         *keys,
         "start_sample_id",
         "start_time",

@@ -19,11 +19,13 @@ from traceloom.operators import (
 from traceloom.operators.slices import DEFAULT_SLICE_ROWS
 from traceloom.plans.lookups import context_switches_view, look_up
 from traceloom.plans.ranges import View
+from traceloom.session import materialise
 
 KERNEL = "[kernel.kallsyms]"
 # The frames between a system call's own function and the kernel entry, innermost first.
 SYSCALL_SHAPE = ["x64_sys_call", "do_syscall_64", "entry_SYSCALL_64"]
 ENTRY_DEPTH = 3
+FRAME = ["call_time", "return_time", "symbol", "dso"]
 # Kernel functions that bracket a context switch.
 SWITCH_FROM = "prepare_task_switch"
 SWITCH_TO = "switch_mm_irqs_off"
@@ -57,7 +59,23 @@ def calls_by_symbol(
 def stacks(calls: DataFrame, call_paths: DataFrame, symbols: DataFrame, dsos: DataFrame) -> DataFrame:
     """Each call with its call stack as an array of frames. Independent of any view: store and reuse it."""
     named = calls_with_symbols(calls, call_paths, symbols, dsos)
-    return ancestor_chains(named, columns=["call_time", "return_time", "symbol", "dso"])
+    frames = named.select("id", "parent_id", *FRAME)
+    return ancestor_chains(materialise(frames, "frames"), columns=FRAME)
+
+
+def calls_near(calls: DataFrame, view: View) -> DataFrame:
+    """Calls that can share a stack with a frame in view, found by time alone.
+
+    A callee returns before its caller does. So every call below a frame with an end in the view lies within
+    the earliest call and the latest return of those frames, a range that the scan can filter on. Stacks of
+    these calls have the same frames in view as whole stacks. Not for tables where calls outlive their
+    callers.
+    """
+    inside = calls.filter(ends_inside(F.col("call_time"), F.col("return_time"), view.start, view.end))
+    low, high = inside.agg(F.min("call_time"), F.max("return_time")).first()
+    if low is None:
+        return calls.limit(0)
+    return calls.filter((F.col("call_time") >= low) & (F.col("return_time") <= high))
 
 
 def _frames_in_view(stack: DataFrame, view: View | None) -> DataFrame:
@@ -83,12 +101,11 @@ def stack_summary(stack: DataFrame, view: View | None) -> DataFrame:
     """
     first, last = F.col("frames")[0], F.element_at("frames", -1)
     entry = F.get(F.filter("frames", lambda f: f.depth == ENTRY_DEPTH), F.lit(0))
-    parts = ["call_time", "return_time", "symbol", "dso"]
     return _frames_in_view(stack, view).select(
         "group_id",
         last.depth.alias("d"),
-        *[first[p].alias(f"first_{p}") for p in parts],
-        *[last[p].alias(f"last_{p}") for p in parts],
+        *[first[p].alias(f"first_{p}") for p in FRAME],
+        *[last[p].alias(f"last_{p}") for p in FRAME],
         F.transform("frames", lambda f: f.symbol).alias("symbol_list"),
         entry.call_time.alias("syscall_entry_call_time"),
         entry.return_time.alias("syscall_entry_return_time"),
