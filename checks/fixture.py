@@ -38,6 +38,12 @@ def chosen(column: Column, values: dict) -> Column:
     return out
 
 
+def inline_rows(spark: SparkSession, rows: list[tuple], *columns: str) -> DataFrame:
+    """Constant rows as a VALUES relation, whose size the optimizer knows."""
+    texts = ", ".join("(" + ", ".join(repr(value) for value in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {texts} AS t({', '.join(columns)})")
+
+
 class Fixture:
     """Trace tables over the driver tables in ``sf_dir``."""
 
@@ -100,7 +106,7 @@ class Fixture:
         )
 
     def _numbered(self, names: dict[int, str], table: str) -> DataFrame:
-        rows = self.spark.createDataFrame(list(names.items()), "id int, name string")
+        rows = inline_rows(self.spark, list(names.items()), "id", "name")
         return with_unknown(rows, table) if table == "selected_events" else rows
 
     @cached_property
@@ -208,7 +214,7 @@ class Fixture:
         types = self.ev.filter(F.col("event_type") != "purchase").select("event_type").distinct()
         called = types.select(F.concat(F.lit("__x64_sys_"), F.col("event_type")).alias("name"))
         fixed = ["do_syscall_64", "entry_SYSCALL_64", "prepare_task_switch", "switch_mm_irqs_off", "x64_sys_call"]
-        names = called.unionByName(self.spark.createDataFrame([(f,) for f in fixed], "name string"))
+        names = called.unionByName(inline_rows(self.spark, [(name,) for name in fixed], "name"))
         # One row per event type: the numbering runs over a handful of rows.
         rows = names.agg(F.sort_array(F.collect_set("name")).alias("names")).select(
             F.posexplode("names").alias("at", "name")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.operators.ordered import group_of
-from traceloom.operators.slices import DEFAULT_SLICE_ROWS, QuantileSlices, WidthSlices, quantile_slices
+from traceloom.operators.slices import DEFAULT_SLICE_ROWS, NO_KEY, QuantileSlices, WidthSlices, quantile_slices
 
 
 def asof_join(
@@ -74,9 +74,8 @@ def asof_join(
     rights = slices.assign(rights, "_k", "_slice", right_spread)
     lefts = slices.assign(lefts, "_k", "_slice", left_spread)
     # Left rows without a key match nothing; scatter them instead of giving them one slice.
-    lefts = lefts.withColumn(
-        "_slice", F.coalesce("_slice", -1 - F.pmod(F.xxhash64("_left"), F.lit(1024)))
-    )
+    lost = F.lit(NO_KEY) + F.pmod(F.xxhash64("_left"), F.lit(1024))
+    lefts = lefts.withColumn("_slice", F.when(F.col("_k").isNull(), lost).otherwise(F.col("_slice")))
     stream = rights.select("_group", "_slice", "_k", "_right").unionByName(
         lefts.select("_group", "_slice", "_k", "_left"), allowMissingColumns=True
     )
@@ -94,15 +93,18 @@ def asof_join(
 
     match = F.col("_match")
     if not slices.single:
-        rank = F.when(is_right, F.struct(F.col("_k"), F.col("_right._id") * (1 if forward else -1)))
+        rank = F.struct(F.col("_k"), F.col("_right._id") * (1 if forward else -1))
         edge = F.min_by("_right", rank) if forward else F.max_by("_right", rank)
+        edges = rights.groupBy("_group", "_slice").agg(edge.alias("_edge"))
+        asking = lefts.select("_group", "_slice", F.lit(True).alias("_asks")).distinct()
         onward = (
-            Window.partitionBy("_group").orderBy(step("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+            Window.partitionBy("_group").orderBy(step("_slice")).rangeBetween(Window.unboundedPreceding, -1)
         )
         carry = (
-            stream.groupBy("_group", "_slice")
-            .agg(edge.alias("_edge"))
-            .select("_group", "_slice", F.last("_edge", ignorenulls=True).over(onward).alias("_carry"))
+            edges.unionByName(asking, allowMissingColumns=True)
+            .withColumn("_carry", F.last("_edge", ignorenulls=True).over(onward))
+            .filter("_asks")
+            .select("_group", "_slice", "_carry")
         )
         matched = matched.join(carry, ["_group", "_slice"])
         match = F.coalesce(match, F.col("_carry"))

@@ -80,22 +80,22 @@ def ordered_scan(
         totals.append(F.count(F.lit(1)).alias("_tn"))
         carried.append(F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_cn"))
         final[row_number] = (F.col("_n") + F.col("_cn")).cast("long")
-    at = F.struct(*place)
+    # A plain column keeps the summary a hash aggregate; a struct would make Spark sort for it.
+    at = F.struct(*place) if tie else place[0]
     if lags:
         row = F.struct(*[F.col(src).alias(out) for out, src in lags.items()])
         local["_lag"] = F.lag(row).over(along)
-        totals.append(F.max_by(row, at).alias("_last"))
-        carried.append(F.lag("_last").over(slice_order).alias("_before"))
-        for out in lags:
-            final[out] = F.coalesce(F.col("_lag"), F.col("_before"))[out]
     if leads:
         row = F.struct(*[F.col(src).alias(out) for out, src in leads.items()])
         local["_lead"] = F.lead(row).over(along)
-        totals.append(F.min_by(row, at).alias("_first"))
-        carried.append(F.lead("_first").over(slice_order).alias("_after"))
-        for out in leads:
-            final[out] = F.coalesce(F.col("_lead"), F.col("_after"))[out]
-
+    for out, src in lags.items():
+        totals.append(F.max_by(src, at).alias(f"_l_{out}"))
+        carried.append(F.lag(f"_l_{out}").over(slice_order).alias(f"_lc_{out}"))
+        final[out] = F.when(F.col("_lag").isNull(), F.col(f"_lc_{out}")).otherwise(F.col("_lag")[out])
+    for out, src in leads.items():
+        totals.append(F.min_by(src, at).alias(f"_f_{out}"))
+        carried.append(F.lead(f"_f_{out}").over(slice_order).alias(f"_fc_{out}"))
+        final[out] = F.when(F.col("_lead").isNull(), F.col(f"_fc_{out}")).otherwise(F.col("_lead")[out])
     for out, src in dict(last_known or {}).items():
         local[f"_p_{out}"] = F.last(src, ignorenulls=True).over(running)
         totals.append(F.max_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"_pt_{out}"))

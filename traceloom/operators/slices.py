@@ -24,6 +24,8 @@ DEFAULT_WIDTH = 1 << 18
 DEFAULT_SLICE_ROWS = 1 << 18
 MAX_SLICES = 1 << 14
 SAMPLE_PER_SLICE = 64
+# Slice of rows without a key: before all others, as NULL sorts first.
+NO_KEY = -(1 << 62)
 UNSAMPLED_ROWS = 2_000_000
 
 
@@ -36,7 +38,8 @@ class WidthSlices:
     def assign(self, df: DataFrame, key: str, out: str, spread: Column | None = None) -> DataFrame:
         """Add the slice number; ``spread`` is not needed because values are unique."""
         k = f"cast(`{key}` as bigint)"
-        return df.withColumn(out, F.expr(f"({k} - pmod({k}, {self.width})) div {self.width}"))
+        number = F.expr(f"({k} - pmod({k}, {self.width})) div {self.width}")
+        return df.withColumn(out, F.coalesce(number, F.lit(NO_KEY)))
 
     @property
     def single(self) -> bool:
@@ -114,7 +117,7 @@ class QuantileSlices:
                 .otherwise(F.lit(self.parts + 3))
             )
             number = number * stride + sub
-        return df.withColumn(out, number).drop(raw, bucket)
+        return df.withColumn(out, F.coalesce(number, F.lit(NO_KEY))).drop(raw, bucket)
 
 
 def quantile_slices(
