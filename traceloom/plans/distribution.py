@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.columns import ratio
 from traceloom.operators import WidthSlices, log_histogram, ordered_scan
+from traceloom.session import materialise
 
 DISCARD_SHARE = 0.01
 TRACE_BEGIN = "trace begin"
@@ -34,19 +35,17 @@ def per_length(ranges: DataFrame, classes: Sequence[int] = ()) -> DataFrame:
 def kept_lengths(lengths: DataFrame, discard: float, width: int) -> DataFrame:
     """Lengths that remain when the longest ranges are discarded up to a share of all cycles.
 
-    ``cum_cycles`` are the cycles in ranges at least as long, so equal lengths share one value.
+    ``cum_cycles`` are the cycles in ranges at least as long, so equal lengths share one value. Both the
+    counts and the result are stored, so the ranges behind them are scanned once.
     """
-    cycles = lengths.withColumns(
+    cycles = materialise(lengths, "lengths").withColumns(
         {"_cycles": F.col("c") * F.col("cyc_count"), "_order": -F.col("cyc_count")}
     )
     total = cycles.agg(F.sum("_cycles")).scalar()
     ranked = ordered_scan(cycles, "_order", sums={"cum_cycles": "_cycles"}, slices=WidthSlices(width))
     share = ratio(F.col("cum_cycles"), total)
-    return (
-        ranked.withColumn("cum_cycles_perc", share)
-        .filter(F.col("cum_cycles_perc") > discard)
-        .drop("_cycles", "_order")
-    )
+    kept = ranked.withColumn("cum_cycles_perc", share).filter(F.col("cum_cycles_perc") > discard)
+    return materialise(kept.drop("_cycles", "_order"), "kept")
 
 
 def samples_for_cdf(

@@ -9,6 +9,7 @@ from traceloom.operators import asof_join, ordered_scan, quantile_slices
 from traceloom.operators.slices import DEFAULT_SLICE_ROWS
 from traceloom.plans.distribution import TRACE_BEGIN
 from traceloom.plans.ranges import timestamped_samples
+from traceloom.session import materialise
 
 
 def number_errors(errors: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS) -> DataFrame:
@@ -28,32 +29,26 @@ def error_gaps(
     those times, so several counted samples at one time give several rows. ``samples`` needs ``id``,
     ``time``, ``branch_type_name`` and the two counts.
     """
-    at = errors.select("id", "time", "code", "msg")
-    both = at.select("time").unionAll(samples.select("time"))
-    slices = quantile_slices(both, "time", rows_per_slice)
-    found = at
-    for name, direction in (("next", "forward"), ("prev", "backward")):
-        found = asof_join(
-            found,
-            samples,
-            left_on="time",
-            right_on="time",
-            right_id="id",
-            columns={f"{name}_sample_time": "time"},
-            direction=direction,
-            slices=slices,
-        )
-    exact = samples.join(at.select("time").distinct(), "time", "left_semi").select(
-        F.col("time").alias("matching_sample_time")
+    at = materialise(errors.select("id", "time", "code", "msg"), "errors")
+    near = materialise(_neighbour_times(at, samples, rows_per_slice), "neighbours")
+    wanted = near.select(
+        F.explode(F.array("time", "next_sample_time", "prev_sample_time")).alias("time")
+    ).distinct()
+    around = materialise(
+        samples.select("id", "time", "branch_type_name", "insn_count", "cyc_count").join(
+            wanted, "time", "left_semi"
+        ),
+        "around",
     )
-    found = found.join(exact.distinct(), F.col("time") == F.col("matching_sample_time"), "left")
+    exact = around.select(F.col("time").alias("matching_sample_time")).distinct()
+    found = near.join(exact, F.col("time") == F.col("matching_sample_time"), "left")
     found = found.withColumns(
         {
             "next_gap_duration": F.col("next_sample_time") - F.col("time"),
             "prev_gap_duration": F.col("time") - F.col("prev_sample_time"),
         }
     )
-    counted = timestamped_samples(samples)
+    counted = timestamped_samples(around)
     for name in ("next", "prev", "matching"):
         details = counted.select(
             F.col("time").alias(f"{name}_sample_time"),
@@ -76,6 +71,42 @@ def error_gaps(
     )
 
 
+def _neighbour_times(errors: DataFrame, samples: DataFrame, rows_per_slice: int) -> DataFrame:
+    """Errors with the nearest strictly earlier and strictly later sample time, in one ordered scan.
+
+    Times are doubled: an error asks from the odd places just before and just after its own time, so
+    samples at the same time are on neither side.
+    """
+    none = F.lit(None).cast("long")
+    place = F.col("time") * 2
+    ask = F.array(
+        F.struct((place - 1).alias("place"), (-1 - F.col("id") * 2).alias("tie")),
+        F.struct((place + 1).alias("place"), (-2 - F.col("id") * 2).alias("tie")),
+    )
+    stream = samples.select(
+        place.alias("place"), F.col("id").alias("tie"), F.col("time").alias("seen"), none.alias("error")
+    ).unionByName(
+        errors.select(F.inline(ask), none.alias("seen"), F.col("id").alias("error"))
+    )
+    scanned = ordered_scan(
+        stream,
+        "place",
+        tie="tie",
+        last_known={"before": "seen"},
+        next_known={"after": "seen"},
+        slices=quantile_slices(stream, "place", rows_per_slice),
+    )
+    # The lower place saw the earlier sample, the higher one the later.
+    seen = scanned.filter("error is not null").groupBy(F.col("error").alias("id")).agg(
+        F.min_by("before", "place").alias("prev_sample_time"),
+        F.max_by("after", "place").alias("next_sample_time"),
+    )
+    timed = F.col("time").isNotNull()
+    return errors.join(seen, "id").withColumns(
+        {c: F.when(timed, F.col(c)) for c in ("prev_sample_time", "next_sample_time")}
+    )
+
+
 def errors_begin_one_to_one(errors: DataFrame, samples: DataFrame) -> DataFrame:
     """Errors without a trace begin at their time, and trace begins without an error; none if 1:1.
 
@@ -112,7 +143,8 @@ def error_free_ranges(samples: DataFrame, rows_per_slice: int = DEFAULT_SLICE_RO
         .select("id", "time")
         .unionByName(counted.filter(F.col("time") == first_time))
     )
-    following = ordered_scan(starts, "id", leads={"next_time": "time"})
+    starts = materialise(starts, "starts")
+    following = materialise(ordered_scan(starts, "id", leads={"next_time": "time"}), "starts")
     ended = asof_join(
         following.select(F.col("time").alias("start_time"), "next_time"),
         counted.withColumn("_newest", -F.col("id")),

@@ -11,6 +11,7 @@ from traceloom.functions.columns import ratio
 from traceloom.operators import ordered_scan, overlap_join, quantile_slices
 from traceloom.operators.slices import DEFAULT_SLICE_ROWS
 from traceloom.plans.distribution import TRACE_BEGIN
+from traceloom.session import materialise
 from traceloom.plans.timeline import calls_by_symbol, errors_and_ranges, following_calls
 
 
@@ -93,6 +94,7 @@ def zero_fill_gaps(
     ``branch_type_name``; pass a stored table.
     """
     covered = errors_and_ranges(errors, ranges, rows_per_slice).select("end_cum_cyc").distinct()
+    covered = materialise(covered, "covered")
     marked = ranges.join(covered.withColumn("_lost", F.lit(True)), "end_cum_cyc", "left").withColumn(
         "is_gap", F.coalesce("_lost", F.lit(False)) | F.coalesce(F.col("branch_type_name") == TRACE_BEGIN, F.lit(False))
     )
@@ -133,7 +135,7 @@ def thread_on_cpu_calls(
     context_switches: DataFrame, calls: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS
 ) -> DataFrame:
     """Calls cut to the stretches in which their thread was on a CPU."""
-    stretches = on_cpu_stretches(context_switches, rows_per_slice)
+    stretches = materialise(on_cpu_stretches(context_switches, rows_per_slice), "stretches")
     timed = calls.select("thread_id", F.col("id").alias("call_id"), "call_time", "return_time")
     return overlap_join(
         stretches,

@@ -134,7 +134,8 @@ def following_calls(
     first: DataFrame, second: DataFrame, first_prefix: str, second_prefix: str, rows_per_slice: int
 ) -> DataFrame:
     """Pair each call of ``first`` with the next call of ``second`` that starts strictly later."""
-    left = first.select(
+    second = materialise(second, "calls-of-one")
+    left = materialise(first, "calls-of-one").select(
         F.col("id").alias(f"{first_prefix}_call_id"),
         F.col("call_time").alias(f"{first_prefix}_call_time"),
         F.col("return_time").alias(f"{first_prefix}_call_return_time"),
