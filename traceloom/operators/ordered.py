@@ -65,6 +65,11 @@ def ordered_scan(
     totals: list[Column] = []
     carried: list[Column] = []
     final: dict[str, Column] = {}
+    none = F.lit(None)
+    alone: dict[str, Column] = {"_cn": F.lit(0)}
+    alone |= {f"_c_{out}": none for out in sums} | {f"_lc_{out}": none for out in lags}
+    alone |= {f"_fc_{out}": none for out in leads} | {f"_pc_{out}": none for out in dict(last_known or {})}
+    alone |= {f"_qc_{out}": none for out in dict(next_known or {})}
     for out, src in sums.items():
         local[f"_s_{out}"] = F.sum(src).over(running)
         totals.append(F.sum(src).alias(f"_t_{out}"))
@@ -113,8 +118,15 @@ def ordered_scan(
         carried.append(F.last(f"_qt_{out}", ignorenulls=True).over(after).alias(f"_qc_{out}"))
         final[out] = F.coalesce(F.col(f"_q_{out}"), F.col(f"_qc_{out}"))
 
-    summary = df.groupBy("_group", "_slice").agg(*totals).select("_group", "_slice", *carried)
     columns = [c for c in df.columns if c not in ("_group", "_slice")]
-    scanned = df.withColumns(local).join(summary, ["_group", "_slice"])
+    scanned = df.withColumns(local)
+    if slices.single:
+        # Each group is one slice: nothing to hand on.
+        for out, src in dict(lows or {}).items():
+            alone[f"_mc_{out}"] = F.min(src).over(Window.partitionBy("_group", "_slice"))
+        scanned = scanned.withColumns(alone)
+    else:
+        summary = df.groupBy("_group", "_slice").agg(*totals).select("_group", "_slice", *carried)
+        scanned = scanned.join(summary, ["_group", "_slice"])
     kept = [F.col(c) for c in columns if c not in final]
     return scanned.select(*kept, *[c.alias(out) for out, c in final.items()])

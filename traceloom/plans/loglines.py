@@ -60,11 +60,14 @@ def wrapped(time: Column) -> Column:
 
 def is_record(line: Column) -> Column:
     """Whether a line is a JSON object with all required fields."""
+    # The JSON functions ignore what follows the first value. Inside an array and inside an object nothing
+    # can follow unnoticed.
+    alone = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1
+    sound = F.json_object_keys(F.concat(F.lit('{"r":'), line, F.lit("}"))).isNotNull()
     keys = F.json_object_keys(line)
-    has_all = F.arrays_overlap(keys, F.array(F.lit(REQUIRED[0])))
-    for name in REQUIRED[1:]:
-        has_all = has_all & F.array_contains(keys, name)
-    return F.coalesce(F.try_parse_json(line).isNotNull() & has_all, F.lit(False))
+    required = F.array(*[F.lit(name) for name in REQUIRED])
+    has_all = F.size(F.array_intersect(keys, required)) == len(REQUIRED)
+    return F.coalesce(alone & sound & has_all, F.lit(False))
 
 
 def stream_modes(lines: DataFrame, keys: Sequence[str], line_no: str = "line_no") -> DataFrame:

@@ -35,14 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local-mode session without that setting gets a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="traceloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="traceloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
