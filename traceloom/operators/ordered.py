@@ -19,6 +19,10 @@ def group_of(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
 
+def _column(source: str | Column) -> Column:
+    return F.col(source) if isinstance(source, str) else source
+
+
 def ordered_scan(
     df: DataFrame,
     order: str,
@@ -28,8 +32,8 @@ def ordered_scan(
     sums: Mapping[str, str] | None = None,
     lags: Mapping[str, str] | None = None,
     leads: Mapping[str, str] | None = None,
-    last_known: Mapping[str, str] | None = None,
-    next_known: Mapping[str, str] | None = None,
+    last_known: Mapping[str, str | Column] | None = None,
+    next_known: Mapping[str, str | Column] | None = None,
     lows: Mapping[str, str] | None = None,
     row_number: str | None = None,
     slices: WidthSlices | QuantileSlices | None = None,
@@ -38,10 +42,13 @@ def ordered_scan(
 
     Each mapping gives a new column its source column. ``sums`` include the current row, ``last_known`` and
     ``next_known`` take the nearest non-NULL value at or before, and at or after it; ``lows`` are the minimum
-    over the whole group. ``order`` must be unique within the keys, or be made so by ``tie`` (both integers). Without
+    over the whole group. The known values may be expressions; they are formed after the shuffle, so that
+    only the columns they are made of travel. ``order`` must be unique within the keys, or be made so by ``tie`` (both integers). Without
     ``slices`` a unique order is cut by width, a tied one at quantiles.
     """
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
+    last_known = {out: _column(src) for out, src in dict(last_known or {}).items()}
+    next_known = {out: _column(src) for out, src in dict(next_known or {}).items()}
     tie_slices = None
     if slices is None:
         slices = WidthSlices() if tie is None else quantile_slices(df, order)
@@ -68,8 +75,8 @@ def ordered_scan(
     none = F.lit(None)
     alone: dict[str, Column] = {"_cn": F.lit(0)}
     alone |= {f"_c_{out}": none for out in sums} | {f"_lc_{out}": none for out in lags}
-    alone |= {f"_fc_{out}": none for out in leads} | {f"_pc_{out}": none for out in dict(last_known or {})}
-    alone |= {f"_qc_{out}": none for out in dict(next_known or {})}
+    alone |= {f"_fc_{out}": none for out in leads} | {f"_pc_{out}": none for out in last_known}
+    alone |= {f"_qc_{out}": none for out in next_known}
     for out, src in sums.items():
         local[f"_s_{out}"] = F.sum(src).over(running)
         totals.append(F.sum(src).alias(f"_t_{out}"))
@@ -101,9 +108,9 @@ def ordered_scan(
         totals.append(F.min_by(src, at).alias(f"_f_{out}"))
         carried.append(F.lead(f"_f_{out}").over(slice_order).alias(f"_fc_{out}"))
         final[out] = F.when(F.col("_lead").isNull(), F.col(f"_fc_{out}")).otherwise(F.col("_lead")[out])
-    for out, src in dict(last_known or {}).items():
+    for out, src in last_known.items():
         local[f"_p_{out}"] = F.last(src, ignorenulls=True).over(running)
-        totals.append(F.max_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"_pt_{out}"))
+        totals.append(F.max_by(src, F.when(src.isNotNull(), at)).alias(f"_pt_{out}"))
         carried.append(F.last(f"_pt_{out}", ignorenulls=True).over(before).alias(f"_pc_{out}"))
         final[out] = F.coalesce(F.col(f"_p_{out}"), F.col(f"_pc_{out}"))
     # Looking ahead is looking back along the reversed order; a frame up to the last row would be quadratic.
@@ -112,14 +119,17 @@ def ordered_scan(
     ahead = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("_group").orderBy(F.col("_slice").desc())
     after = after.rowsBetween(Window.unboundedPreceding, -1)
-    for out, src in dict(next_known or {}).items():
+    for out, src in next_known.items():
         local[f"_q_{out}"] = F.last(src, ignorenulls=True).over(ahead)
-        totals.append(F.min_by(src, F.when(F.col(src).isNotNull(), at)).alias(f"_qt_{out}"))
+        totals.append(F.min_by(src, F.when(src.isNotNull(), at)).alias(f"_qt_{out}"))
         carried.append(F.last(f"_qt_{out}", ignorenulls=True).over(after).alias(f"_qc_{out}"))
         final[out] = F.coalesce(F.col(f"_q_{out}"), F.col(f"_qc_{out}"))
 
     columns = [c for c in df.columns if c not in ("_group", "_slice")]
-    scanned = df.withColumns(local)
+    spread_out = df
+    if last_known or next_known:
+        spread_out = df.repartition(*(["_group", "_slice"] if keys else ["_slice"]))
+    scanned = spread_out.withColumns(local)
     if slices.single:
         # Each group is one slice: nothing to hand on.
         for out, src in dict(lows or {}).items():

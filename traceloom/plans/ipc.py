@@ -44,57 +44,51 @@ def sliding_window(
     """
     if slices is None:
         slices = quantile_slices(ranges, "end_cum_cyc", rows_per_slice)
-    whole = F.struct(*RANGE_FIELDS, "end_time")
-    usable = (F.col("cyc_count") > 0) | (F.col("end_sample_row_number") == 1)
     end = F.col("end_cum_cyc").cast("long")
     number = F.col("end_sample_id").cast("long")
     # At equal positions leading points sort first: they are the rows that stay, so the step is theirs.
     points = ranges.select(
         *keys,
-        whole.alias("own"),
-        F.when(usable, whole).alias("usable"),
+        F.struct(*RANGE_FIELDS, "end_time").alias("own"),
+        ((F.col("cyc_count") > 0) | (F.col("end_sample_row_number") == 1)).alias("usable"),
         F.inline(
             F.array(
                 F.struct(
-                    F.lit("leading").alias("side"),
+                    F.lit(True).alias("leads"),
                     end.alias("position"),
                     (number * 2 - (1 << 62)).alias("tie"),
                 ),
                 F.struct(
-                    F.lit("trailing").alias("side"),
+                    F.lit(False).alias("leads"),
                     (end + (size - 1)).alias("position"),
                     (number * 2 + 1).alias("tie"),
                 ),
             )
         ),
     )
-    here = F.struct("position", F.col("usable").alias("range"))
-    points = points.withColumns(
-        {
-            "_lead": F.when(F.col("side") == "leading", F.col("usable")),
-            "_trail": F.when(F.col("side") == "trailing", F.col("usable")),
-            "_at": F.when((F.col("side") == "leading") & F.col("usable").isNotNull(), here),
-        }
-    )
+    is_leading, own = F.col("leads"), F.col("own")
+    here = F.struct("position", own.alias("range"))
     scanned = ordered_scan(
         points,
         "position",
         tie="tie",
         keys=keys,
         lags={"previous": "position"},
-        last_known={"behind": "_at"},
-        next_known={"leading": "_lead", "trailing": "_trail"},
+        last_known={"behind": F.when(is_leading & F.col("usable"), here)},
+        next_known={
+            "leading": F.when(is_leading & F.col("usable"), own),
+            "trailing": F.when(~is_leading & F.col("usable"), own),
+        },
         slices=slices,
     )
     coincides = F.col("behind.position") == F.col("position")
     lead = (
-        F.when(F.col("side") == "leading", F.col("own"))
+        F.when(is_leading, own)
         .when(coincides, F.col("behind.range"))
         .otherwise(F.col("leading"))
     )
-    trail = F.when(F.col("side") == "trailing", F.col("own")).otherwise(F.col("trailing"))
+    trail = F.when(is_leading, F.col("trailing")).otherwise(own)
     rows = scanned.withColumns({"_l": lead, "_t": trail}).filter(F.col("_l").isNotNull())
-    is_leading = F.col("side") == "leading"
     window_end = F.col("position")
     window_start = F.col("position") - (size - 1)
     return rows.select(
@@ -105,7 +99,7 @@ def sliding_window(
         F.col("_l.end_time").alias("end_time"),
         *[F.col(f"_l.{f}").alias(f"leading_{f}") for f in RANGE_FIELDS],
         *[F.col(f"_t.{f}").alias(f"trailing_{f}") for f in RANGE_FIELDS],
-        "side",
+        F.when(is_leading, "leading").otherwise("trailing").alias("side"),
         F.when(is_leading, window_start == F.col("_t.end_cum_cyc"))
         .otherwise(window_end == F.col("_l.end_cum_cyc"))
         .alias("is_span_aliased"),
