@@ -35,7 +35,8 @@ def asof_join(
     Both sides are put in one ordered stream and shuffled once by (keys, slice). Within a slice a
     running ``last`` finds the match; what a slice has to hand on to the next is one right row, which
     comes from a pre-aggregated summary. Hot left values are scattered over several slices and hot
-    right values reduced to the one row that can match, so no slice grows with the ties.
+    right values reduced to the one row that can match, so no slice grows with the ties. ``slices`` lets
+    several joins on one axis share their quantiles; slices by width suit keys without frequent values.
     """
     if direction not in ("forward", "backward") or how not in ("left", "inner"):
         raise ValueError(f"unsupported as-of join: direction={direction!r} how={how!r}")

@@ -87,7 +87,7 @@ def trace_extent(samples: DataFrame) -> DataFrame:
 def middle_view(samples: DataFrame, duration: int = VIEW_DURATION) -> View:
     """A window of ``duration`` that starts in the middle of the trace."""
     extent = trace_extent(samples).first()
-    if extent.last_time is None:
+    if extent.first_time is None:
         raise ValueError("the trace has no counted samples")
     start = extent.first_time + (extent.last_time - extent.first_time) // 2
     return View(start, start + duration)
