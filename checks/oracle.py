@@ -330,7 +330,7 @@ from (select *, coalesce(json_valid(first) and list_has_all(json_keys(case when
 BODIES["log_normalize"] = _NORMAL
 BODIES["log_normalize_stream"] = _NORMAL
 BODIES["log_attrs"] = """
-select conv_id, line_no, 'container1' as app, output_stream_name as server_driver,
+select conv_id, line_no, 'supervisor' as app, output_stream_name as server_driver,
   conv_id % 50 as server_sleep_duration_millis, 'go' as client_driver, line_no as client_num_clients,
   cast(10 as bigint) as test_duration_secs from log_lines
 """

@@ -654,7 +654,7 @@ def _(f: Fixture) -> DataFrame:
             F.lit(10).alias("test_duration_secs"),
         )
     )
-    attributed = loglines.with_attributes(f.log_lines, "container1", config, trials.CONFIG_DDL)
+    attributed = loglines.with_attributes(f.log_lines, "supervisor", config, trials.CONFIG_DDL)
     return attributed.select("conv_id", "line_no", "app", "trial_config.*")
 
 
