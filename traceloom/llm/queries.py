@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.llm.common import read
 from traceloom.llm.id_files import id_digests
+from traceloom.llm.near_dup import near_duplicates
 from traceloom.llm.packing import pack_documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,5 +21,9 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files)}
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files, op9_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
