@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.llm.common import read
+from traceloom.llm.decontamination import contamination
 from traceloom.llm.id_files import id_digests
 from traceloom.llm.near_dup import near_duplicates
 from traceloom.llm.packing import pack_documents
@@ -25,5 +26,9 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files, op9_near_dup)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files, op9_near_dup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
