@@ -10,6 +10,7 @@ from traceloom.llm.decontamination import contamination
 from traceloom.llm.id_files import id_digests
 from traceloom.llm.near_dup import near_duplicates
 from traceloom.llm.packing import pack_documents
+from traceloom.llm.quality import quality_scores
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,5 +31,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files, op9_near_dup, op10_decontamination)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
