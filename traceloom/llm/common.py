@@ -17,6 +17,8 @@ BATCH_BYTES = 16 << 20
 #: Texts are handled in slices of about this many bytes, so memory follows the slice or the longest text.
 SLICE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+#: Rows of a group that are compared in one piece; larger groups are cut into pairs of blocks.
+BLOCK = 256
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -182,6 +184,24 @@ def pairs_within(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+def in_blocks(rows: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
+    """Rows with (bi, bj, side): the pairs of blocks in which a row of a group of ``size`` rows is compared."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64(F.col(name)), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(
+        "*", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj")
+    ).drop("blocks", "other")
+
+
+def block_pairs(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows to compare: within a block, or between the two blocks of a pair of blocks."""
+    left, right = pairs_within(starts, table.num_rows)
+    b, bi, bj = (table[c].to_numpy() for c in ("b", "bi", "bj"))
+    keep = (bi[left] == bj[left]) | (b[left] != b[right])
+    return left[keep], right[keep]
+
+
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest position that each of ``n`` positions reaches through the pairs."""
     label = np.arange(n)

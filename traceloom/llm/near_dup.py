@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import (
     BASE,
     Words,
+    block_pairs,
     connected_components,
+    in_blocks,
     local_components,
     mix,
-    pairs_within,
     prepare,
     run_starts,
     runs,
@@ -37,8 +38,6 @@ PER_LIST = 3
 #: Hashes of the sketch that estimate similarity, and the estimate's room below the threshold in deviations.
 ESTIMATE_K = 64
 DEVIATIONS = 4.0
-#: Documents of a list, and of a group, that are compared in one piece; larger ones are cut into pairs of blocks.
-BLOCK = 256
 
 
 def document_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
@@ -108,24 +107,6 @@ def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (same & inside).sum(axis=1) / np.maximum((~same & inside).sum(axis=1), 1)
 
 
-def in_blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows with (bi, bj, side): the pairs of blocks in which a row of a key's group of ``size`` rows is compared."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64(F.col(name)), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(
-        "*", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj")
-    ).drop("blocks", "other")
-
-
-def block_pairs(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows to compare: within a block, or between the two blocks of a pair of blocks."""
-    left, right = pairs_within(starts, table.num_rows)
-    b, bi, bj = (table[c].to_numpy() for c in ("b", "bi", "bj"))
-    keep = (bi[left] == bj[left]) | (b[left] != b[right])
-    return left[keep], right[keep]
-
-
 def edge_batch(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
     """A row per connected name that leads to its component's first row: a spanning forest of the pairs."""
     label = local_components(len(names), left, right)
@@ -140,7 +121,7 @@ def candidate_edges(representatives: DataFrame, threshold: float) -> DataFrame:
     listed = representatives.select("node", "n", F.explode("keys").alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = materialise(listed.join(sizes, "key"), "lists")
-    rows = in_blocks(rows, "key", "node")
+    rows = in_blocks(rows, "node")
     attached = rows.join(representatives.select("node", "sketch", F.col("keys").alias("own")), "node")
     order = ["key", "bi", "bj"]
     attached = attached.repartition(*order).sortWithinPartitions(*order)
@@ -204,7 +185,7 @@ def set_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, perce
 def exact_edges(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of a forest of all links within the candidate groups (node, component)."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = in_blocks(groups.join(sizes, "component"), "component", "node")
+    members = in_blocks(groups.join(sizes, "component"), "node")
     members = members.groupBy("node", "component", "b").agg(
         F.collect_list(F.struct("bi", "bj")).alias("places")
     )

@@ -11,6 +11,7 @@ from traceloom.llm.id_files import id_digests
 from traceloom.llm.near_dup import near_duplicates
 from traceloom.llm.packing import pack_documents
 from traceloom.llm.quality import quality_scores
+from traceloom.llm.vector_dup import vector_links
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
+def op4_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
@@ -35,5 +40,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_packing, op4_vector_dup, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
