@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from traceloom.llm.chat import conversation_digests
 from traceloom.llm.common import read
 from traceloom.llm.decontamination import contamination
 from traceloom.llm.id_files import id_digests
@@ -14,6 +15,7 @@ from traceloom.llm.quality import quality_scores
 from traceloom.llm.vector_dup import vector_links
 
 TOKENIZER = "word_bpe_49k.json"
+CHAT_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,13 @@ def op4_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return conversation_digests(rows.unionAll(probe), public_tokenizers.path(CHAT_TOKENIZER))
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
@@ -40,5 +49,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_vector_dup, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_packing, op4_vector_dup, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
