@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from traceloom.llm import licences
 from traceloom.llm.chat import conversation_digests
 from traceloom.llm.common import read
 from traceloom.llm.decontamination import contamination
@@ -26,6 +27,10 @@ def op4_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_labels(read(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -49,5 +54,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_vector_dup, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_packing, op4_vector_dup, op5_licences, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
+ORACLE_SQL = {"op5_licences": licences.oracle()}
