@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import licences
+from traceloom.llm import licences, warc
 from traceloom.llm.chat import conversation_digests
 from traceloom.llm.common import read
 from traceloom.llm.decontamination import contamination
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+
+
 def op4_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -54,5 +58,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_vector_dup, op5_licences, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
-ORACLE_SQL = {"op5_licences": licences.oracle()}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_warc, op4_vector_dup, op5_licences, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
+ORACLE_SQL = {"op2_warc": warc.oracle(), "op5_licences": licences.oracle()}
