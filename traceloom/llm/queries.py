@@ -13,6 +13,7 @@ from traceloom.llm.id_files import id_digests
 from traceloom.llm.near_dup import near_duplicates
 from traceloom.llm.packing import pack_documents
 from traceloom.llm.quality import quality_scores
+from traceloom.llm.scoring import score_texts
 from traceloom.llm.vector_dup import vector_links
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +28,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
 
 
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -58,5 +63,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_warc, op4_vector_dup, op5_licences, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_warc, op3_scoring, op4_vector_dup, op5_licences, op6_chat, op7_id_files, op8_quality, op9_near_dup, op10_decontamination)}
 ORACLE_SQL = {"op2_warc": warc.oracle(), "op5_licences": licences.oracle()}
