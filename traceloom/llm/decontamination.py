@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import BASE, NOT_ALNUM, Words, mix, prepare, shingle_hashes, slices
+from traceloom.session import materialise
 
 BITS = 128
 BLOCKS = BITS // 8
@@ -187,3 +188,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         found = docs.mapInArrow(search, schema)
         out = found if out is None else out.unionAll(found)
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` in whose documents no benchmark item is found, with all their columns.
+
+    All rows of a document go that holds an item in one of them; rows without a doc_id always stay.
+    """
+    found = contamination(docs, benchmark, threshold).where("doc_id is not null").select("doc_id").distinct()
+    return docs.join(materialise(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)

@@ -252,3 +252,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of near duplicates, with all their columns.
+
+    Of rows that share a doc_id and a text one stays; rows without a doc_id always stay.
+    """
+    found = near_duplicates(docs, percent)
+    removed = materialise(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "removed")
+    left = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("size")).where("size > 1")
+    repeated = materialise(repeated.select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(once)

@@ -183,6 +183,14 @@ def fit(training: DataFrame, features: int = FEATURES, width: float = WIDTH, rid
     return model
 
 
+def fit_labels(found: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on the rows of ``found`` (doc_id, x) that are not held out and have a label (their mean, if several)."""
+    marks = labels.where("quality is not null and doc_id is not null")
+    marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
+    training = found.where(crc32_of_id(F.col("doc_id")) % 5 != 0).join(marks, "doc_id").select("x", "y")
+    return fit(materialise(training, "training"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
 
@@ -191,24 +199,37 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Data
     repeated rows of a document each count. Null and empty texts have a row of zeros for statistics.
     Without any label every score is 0.5. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    dimension = len(STATISTICS)
-    found = document_statistics(docs).withColumn("held_out", crc32_of_id(F.col("doc_id")) % 5 == 0)
-    found = materialise(found, "statistics")
-    marks = labels.where("quality is not null and doc_id is not null")
-    marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
-    training = materialise(found.where("not held_out").join(marks, "doc_id").select("x", "y"), "training")
-    model = fit(training)
+    prepare(docs.sparkSession)
+    found = materialise(document_statistics(docs), "statistics")
+    model = fit_labels(found, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = stacked(batch.column("x"), dimension)
-            values = model.score(x) if model else np.full(len(x), 0.5)
+            values = model_scores(model, stacked(batch.column("x"), len(STATISTICS)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(values), pa.array((values >= cut).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    rows = found.select("doc_id", "held_out", "x")
+    rows = found.select("doc_id", (crc32_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "x")
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def model_scores(model: Model | None, x: np.ndarray) -> np.ndarray:
+    return model.score(x) if model else np.full(len(x), 0.5)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``cut`` (see ``quality_scores``), with all their columns.
+
+    Each row is judged in place by its own text, so no text is shuffled and repeated ids need no rule.
+    """
+    prepare(docs.sparkSession)
+    model = fit_labels(document_statistics(docs), labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = model_scores(model, statistics(batch.column("text")))
+            yield batch.filter(pa.array(values >= cut))
+
+    return docs.mapInArrow(keep, docs.schema)
