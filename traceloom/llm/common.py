@@ -19,6 +19,8 @@ SLICE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 #: Rows of a group that are compared in one piece; larger groups are cut into pairs of blocks.
 BLOCK = 256
+#: Bits of a filter of ids that every task gets: 4 MB.
+FILTER_BITS = 1 << 25
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -202,6 +204,42 @@ def block_pairs(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return left[keep], right[keep]
 
 
+def filter_bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A bit map of fixed size with the bits of all ``ids`` (one long column, no nulls) set.
+
+    Tasks make partial maps in chunks, which Spark brings together by chunk; the driver gets FILTER_BITS / 8 bytes. Ids
+    outside may hit a set bit, so an exact join follows wherever it is used to spare a shuffle.
+    """
+    name = ids.columns[0]
+    chunks = 64
+    width = FILTER_BITS // 8 // chunks
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[filter_bits(batch.column(name).to_numpy())] = True
+        rows = np.packbits(bits).reshape(chunks, width)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"chunk": used, "bits": [rows[i].tobytes() for i in used]})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, bits in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist()):
+                held[chunk] = held.get(chunk, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_pydict({"chunk": list(held), "bits": [x.tobytes() for x in held.values()]})
+
+    parts = ids.mapInArrow(partial, "chunk long, bits binary").repartition(chunks, "chunk")
+    out = np.zeros((chunks, width), np.uint8)
+    for row in parts.mapInArrow(whole, "chunk long, bits binary").collect():
+        out[row.chunk] = np.frombuffer(row.bits, np.uint8)
+    return out.tobytes()
+
+
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest position that each of ``n`` positions reaches through the pairs."""
     label = np.arange(n)

@@ -21,6 +21,8 @@ from traceloom.llm.common import (
     Words,
     block_pairs,
     connected_components,
+    filter_bits,
+    id_filter,
     in_blocks,
     local_components,
     mix,
@@ -189,18 +191,19 @@ def exact_edges(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     members = members.groupBy("node", "component", "b").agg(
         F.collect_list(F.struct("bi", "bj")).alias("places")
     )
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members, "node")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(groups.select("node")))
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
         for batch in batches:
+            inside = bits[filter_bits(batch.column("node").to_numpy())] == 1
+            batch = batch.filter(pa.array(inside))
             found = [s.tobytes() for s in document_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("node", "component", "b", "places")), pa.array(found, pa.binary())],
-                names=["node", "component", "b", "places", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    built = texts.select("node", "component", "b", "places", "text").mapInArrow(
-        build, "node long, component long, b int, places array<struct<bi:int,bj:int>>, shingles binary"
-    )
+    # Sets are made where the texts lie, for the filter's documents only: neither texts nor other sets are shuffled.
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    built = texts.mapInArrow(build, "node long, shingles binary").join(members.hint("merge"), "node")
     order = ["component", "bi", "bj"]
     spread = built.select("node", "component", "b", F.explode("places").alias("p"), "shingles").select(
         "node", "component", "b", "p.bi", "p.bj", "shingles"
