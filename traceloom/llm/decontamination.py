@@ -3,8 +3,8 @@
 Every window of a document that is as long as some benchmark item gets a weighted SimHash fingerprint of its shingles.
 A multi-index over the items' fingerprints finds all items within ``RADIUS`` bits: fingerprints are cut into ``BITS`` / 8 blocks
 of 8 bits, and two fingerprints within the radius agree in some block up to RADIUS // blocks bits. Candidates are
-then verified by the exact weighted similarity of their shingles. Windows without any shingle of any item have
-similarity 0 to all items and are not fingerprinted.
+then verified by the exact weighted similarity of their shingles. Windows in which the shingles of all items weigh less than
+the threshold's share cannot reach it with any item and are not fingerprinted.
 """
 
 from __future__ import annotations
@@ -129,22 +129,33 @@ class Items:
         weight = np.where(local >= 0, self.weights[local], self.other).astype(np.float32)
         sums = np.zeros((high - low + 1, BITS), np.float64)
         np.cumsum(signs(mine) * weight[:, None], axis=0, out=sums[1:])
-        hits = np.append(0, np.cumsum(local >= 0))
+        # A window can only reach the threshold if the shingles that some item holds make up that share of its weight.
+        # Where a shingle repeats, sums are no bound of a set's weight: then one such shingle is enough.
+        held = np.append(0, np.cumsum(np.where(local >= 0, weight, 0).astype(np.float64)))
+        weights = np.append(0, np.cumsum(weight.astype(np.float64)))
+        least = threshold - 1e-4 if len(np.unique(mine)) == len(mine) else 0.0
+        windows = []
         for length in self.lengths.tolist():
             # A document shorter than the item is one window; a window of fewer than five words is one shingle.
             length = min(length, total)
             span = max(1, length - 4)
             if span > high - low or (total < 5) != (length < 5):
                 continue
-            starts = np.arange(high - low - span + 1)
-            starts = starts[hits[starts + span] > hits[starts]]
-            if not len(starts):
-                continue
-            row, item = self.near(fingerprints(sums[starts + span] - sums[starts]))
-            for r, i in zip(starts[row].tolist(), item.tolist()):
-                similarity = self.similarity(local[r : r + span], mine[r : r + span], i)
+            inside = held[span:] - held[:-span]
+            starts = np.flatnonzero((inside > 1e-9) & (inside >= least * (weights[span:] - weights[:-span])))
+            if len(starts):
+                windows.append(np.stack((starts, np.full(len(starts), span), np.full(len(starts), length)), axis=1))
+        if not windows:
+            return
+        starts, spans, lengths = np.concatenate(windows).T
+        for at in range(0, len(starts), 4096):
+            a, b = starts[at : at + 4096], spans[at : at + 4096]
+            row, item = self.near(fingerprints(sums[a + b] - sums[a]))
+            for r, i in zip(row.tolist(), item.tolist()):
+                begin, end = int(a[r]), int(a[r] + b[r])
+                similarity = self.similarity(local[begin:end], mine[begin:end], i)
                 if similarity >= threshold and (i not in best or similarity > best[i][2]):
-                    best[i] = (low + r, length, similarity)
+                    best[i] = (low + begin, int(lengths[at + r]), similarity)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, pass_bytes: int = PASS_BYTES) -> DataFrame:
