@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from traceloom.session import materialise
 
 SPACE_BYTES = (0x20, *range(0x09, 0x0E))
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Texts are handled in slices of about this many bytes, so memory follows the slice or the longest text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 #: Rows of a group that are compared in one piece; larger groups are cut into pairs of blocks.
 BLOCK = 256

@@ -14,7 +14,7 @@ import pyarrow as pa
 from traceloom.llm.common import Words, raw_bytes, slices
 
 #: Distinct words kept per Python worker; at this size the store starts anew. A bound of memory, not of the words.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 300_000
 _encoders: dict[str, WordEncoder] = {}
 
 # Lower-case letters below U+0250 that normalisation leaves alone: runs of them reach the model unchanged.
