@@ -246,3 +246,16 @@ def test_shared_folder_comes_from_the_session(spark):
     local = Session(None, "local[2]")
     assert shared_folder(local) == shared_folder(local)
     assert materialise(spark.range(3)).count() == 3
+
+
+def test_lines_without_a_stream_key_are_a_stream(spark):
+    rows = [(0, None, 1, "plain"), (0, None, 2, "more"), (0, "a", 1, "x")]
+    lines = spark.createDataFrame(rows, "command_index long, output_stream_name string, line_no long, line string")
+    done = loglines.normalise(lines, ["command_index", "output_stream_name"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert sorted(r.line for r in done.collect()) == ["more", "plain", "x"]
+
+
+def test_records_and_rejected_lines_are_all_lines(spark):
+    lines = spark.createDataFrame([("no",), ("{} tail",), (None,), ("[1]",)], "line string")
+    assert loglines.parse_records(lines).count() == 0
+    assert loglines.rejected_lines(lines).count() == 4

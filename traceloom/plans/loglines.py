@@ -76,9 +76,18 @@ def stream_modes(lines: DataFrame, keys: Sequence[str], line_no: str = "line_no"
     return first.select(*keys, is_record(F.col("_first")).alias("passes"))
 
 
+def same_keys(right: DataFrame, left: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``right`` with renamed keys, and the condition that joins it to ``left`` with NULL equal to NULL."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return renamed, condition
+
+
 def apply_modes(lines: DataFrame, modes: DataFrame, keys: Sequence[str], time: Column) -> DataFrame:
-    """Lines of passing streams unchanged, all others wrapped, as ``output``."""
-    decided = lines.join(modes, list(keys))
+    """Lines of passing streams unchanged, all others wrapped, as ``output``. A NULL key is a stream of its own."""
+    decided = lines.join(*same_keys(modes, lines, keys)).select(*lines.columns, "passes")
     return decided.withColumn("output", F.when(F.col("passes"), F.col("line")).otherwise(wrapped(time)))
 
 
@@ -93,9 +102,14 @@ def with_attributes(records: DataFrame, app: str, config: Column, config_ddl: st
 
 
 def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Log records from JSON lines; lines that are no JSON object are dropped."""
+    """Log records from the lines that are records; ``rejected_lines`` has the others."""
     parsed = F.from_json(F.col(line), RECORD_DDL)
-    return lines.filter(F.json_object_keys(F.col(line)).isNotNull()).select(parsed.alias("_r")).select("_r.*")
+    return lines.filter(is_record(F.col(line))).select(parsed.alias("_r")).select("_r.*")
+
+
+def rejected_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The lines that ``parse_records`` leaves out, NULL lines among them."""
+    return lines.filter(~is_record(F.col(line)))
 
 
 def alerts(records: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.columns import ratio
-from traceloom.operators import QuantileSlices, WidthSlices, ordered_scan, quantile_slices
+from traceloom.operators import QuantileSlices, WidthSlices, ordered_scan
 from traceloom.session import materialise
 
 VIEW_DURATION = 15_000
@@ -161,7 +161,3 @@ def stored_ranges(
 ) -> DataFrame:
     """Timestamped ranges written once, for plans that read them several times."""
     return materialise(timestamped_ranges(samples, keys=keys, names=names, slices=slices), "ranges")
-
-
-def cycle_slices(ranges: DataFrame, rows_per_slice: int) -> QuantileSlices:
-    return quantile_slices(ranges, "end_cum_cyc", rows_per_slice)

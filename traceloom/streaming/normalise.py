@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from traceloom.plans.loglines import apply_modes, stream_modes
+from traceloom.plans.loglines import apply_modes, same_keys, stream_modes
 
 
 def normalise_stream(
@@ -41,7 +41,7 @@ def normalise_stream(
                 raise
             earlier = spark.createDataFrame([], schema)
         earlier = earlier.select(*keys, "passes")
-        new = new.join(earlier, list(keys), "left_anti")
+        new = new.join(*same_keys(earlier, new, keys), "left_anti")
         new.write.mode("overwrite").parquet(f"{root}/modes/batch={batch_id}")
         mode_schema = new.schema
         stored = spark.read.schema(mode_schema).parquet(f"{root}/modes/batch={batch_id}")
