@@ -24,14 +24,17 @@ def _truth(column: str) -> str:
 
 
 def _histogram(rows: str, value: str, bins: int, measures: str, outputs: str, low: str, high: str) -> str:
+    extent = f"(select log10(min({value}) * {low}) as low, log10(max({value}) * {high}) as high from {rows})"
+    zeros = ", ".join(f"coalesce({c}, 0) as {c}" for c in outputs.split(", "))
     return f"""
-select bin, round(pow(10.0::double, low + bin * ((high - low) / {bins})), 3) as lower_edge,
-  round(pow(10.0::double, low + (bin + 1) * ((high - low) / {bins})), 3) as upper_edge, {outputs}
-from (select bin, low, high, {measures} from (
+select b.bin, round(pow(10.0::double, low + b.bin * ((high - low) / {bins})), 3) as lower_edge,
+  round(pow(10.0::double, low + (b.bin + 1) * ((high - low) / {bins})), 3) as upper_edge, {zeros}
+from (select unnest(range({bins})) as bin) as b cross join {extent} as x left join (select bin as filled, {measures} from (
     select *, cast(greatest(0, least({bins - 1}, floor(
       (log10(cast({value} as double)) - low) / (high - low) * {bins}))) as bigint) as bin
-    from {rows}, (select log10(min({value}) * {low}) as low, log10(max({value}) * {high}) as high from {rows}))
-  group by bin, low, high)
+    from {rows}, {extent} as x)
+  group by bin) on filled = b.bin
+where high > low or (b.bin = 0 and low is not null)
 """
 
 
@@ -367,7 +370,7 @@ group by offset_bucket
 """
 BODIES["zero_fill_gaps"] = """
 with marked as (select r.*, coalesce(branch_type_name = 'trace begin', false)
-    or coalesce(end_cum_cyc in (select end_cum_cyc from covered where end_cum_cyc is not null), false) as is_gap from ranges as r),
+    or end_sample_id in (select end_sample_id from covered where end_sample_id is not null) as is_gap from ranges as r),
 rate as (select cast(sum(cyc_count) as double) / sum(end_time - start_time) as r from marked
   where not is_gap and start_time is not null)
 select end_sample_id, start_time, end_time, is_gap, case when is_gap then 0 else insn_count end as insn_count,
@@ -377,9 +380,10 @@ from marked, rate
 """
 BODIES["thread_on_cpu_calls"] = """
 select c.thread_id, s.cpu, c.id as call_id, greatest(s.time, c.call_time) as overlap_start,
-  least(s.until, c.return_time) as overlap_end
+  least(coalesce(s.until, c.return_time), c.return_time) as overlap_end
 from (select *, lead(time) over (partition by cpu order by time, id) as until from context_switches) as s
-  join calls as c on c.thread_id = s.thread_in_id and s.time < c.return_time and c.call_time < s.until
+  join calls as c on c.thread_id = s.thread_in_id and s.time < c.return_time
+    and (s.until is null or c.call_time < s.until)
 """
 BODIES["perf_overhead"] = """
 select count(spent) as stretches, cast(sum(spent) as bigint) as total_ns, min(spent) as min_ns, max(spent) as max_ns

@@ -209,13 +209,27 @@ def test_ancestor_chains(spark):
     assert rows(closure(short, ["name"])) == by_repr(e for e in expected if e[3] <= 3)
 
 
-def test_ancestor_chains_refuse_cycles(spark, monkeypatch):
-    monkeypatch.setattr("traceloom.operators.chains.MAX_ROUNDS", 3)
-    df = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long")
+@pytest.mark.parametrize("pointers", [[(1, 2), (2, 1)], [(5, 5)], [(1, 2), (2, 3), (3, 4), (4, 5), (5, 3)]])
+def test_ancestor_chains_refuse_cycles(spark, pointers):
+    df = spark.createDataFrame([(0, 0), (9, 0), *pointers], "id long, parent_id long")
     with pytest.raises(ValueError):
         ancestor_chains(df)
 
 
+def test_ancestor_chains_by_key(spark):
+    # Two trials and one without a name have equal ids; each has its own root and frames.
+    found = [(0, 0), (1, 0), (2, 1), (3, 2)]
+    data = [(t, i, p, f"{t}{i}") for t in ("x", "y", None) for i, p in found]
+    df = spark.createDataFrame(data, "trial string, id long, parent_id long, name string")
+    chains = ancestor_chains(df, columns=["name"], keys=["trial"])
+    got = rows(closure(chains, ["name"], keys=["trial"]).select("trial", "group_id", "id", "depth", "name"))
+    assert got == by_repr(
+        (t, i, i - d, d, f"{t}{i - d}") for t in ("x", "y", None) for i in range(4) for d in range(i + 1)
+    )
+    short = ancestor_chains(df, columns=["name"], keys=["trial"], max_depth=1)
+    assert rows(closure(short, keys=["trial"]).groupBy("trial").count()) == by_repr([("x", 7), ("y", 7), (None, 7)])
+
+
 def test_log_histogram(spark):
     df = spark.createDataFrame([(1,), (9,), (11,), (99,), (1000,)], "v long")
     got = log_histogram(df, "v", edges=4, measures={"n": F.count(F.lit(1))}).orderBy("bin").collect()
@@ -223,3 +237,11 @@ def test_log_histogram(spark):
     assert [round(r.upper_edge) for r in got] == [10, 100, 1000]
     same = spark.createDataFrame([(5,), (5,)], "v long")
     assert [r.n for r in log_histogram(same, "v", edges=4, measures={"n": F.count(F.lit(1))}).collect()] == [2]
+
+
+def test_log_histogram_keeps_empty_bins(spark):
+    df = spark.createDataFrame([(1,), (1000,)], "v long")
+    measures = {"n": F.count(F.lit(1)), "total": F.sum("v")}
+    got = log_histogram(df, "v", edges=4, measures=measures).orderBy("bin").collect()
+    assert [(r.bin, r.n, r.total) for r in got] == [(0, 1, 1), (1, 0, 0), (2, 1, 1000)]
+    assert log_histogram(df.limit(0), "v", edges=4, measures=measures).collect() == []

@@ -68,6 +68,48 @@ def test_calls_near_the_view_give_the_same_syscalls(spark, dims):
         assert syscalls(spark, dims, near, view) == syscalls(spark, dims, calls, view)
 
 
+def test_calls_near_keeps_open_calls_and_callees_that_outlive_their_callers(spark, dims):
+    rows = stack(10, 100, 120) + stack(20, 200, 220) + stack(30, 900, 920)
+    rows = [(i, p, n, a, None if i in (10, 20) else b) for i, p, n, a, b in rows]
+    rows.append((15, 10, 5, 50, 5000))  # called before and returning after all of its callers
+    rows.append((16, 15, 5, 5000, None))
+    calls = make_calls(spark, rows)
+    whole = timeline.stacks(calls, *dims)
+    for view in (View(90, 130), View(121, 123)):
+        near = timeline.stacks(timeline.calls_near(calls, view), *dims)
+        want, got = (sorted(map(repr, timeline.stack_summary(c, view).collect())) for c in (whole, near))
+        assert got == want
+    assert timeline.calls_near(calls, View(0, 1)).count() == calls.count()
+    assert {r.id for r in timeline.calls_near(calls, View(121, 123)).collect()} == {10, 11, 12, 13, 15, 16}
+    looped = calls.unionByName(calls.limit(1).selectExpr("77L", "77L", "5L", "1L", "2L").toDF(*calls.columns))
+    with pytest.raises(ValueError):
+        timeline.calls_near(looped, View(90, 130))
+
+
+def test_last_stretch_on_a_cpu_is_open(spark):
+    switches = spark.createDataFrame(
+        [(1, 0, 10, 7), (2, 0, 50, 8), (3, 1, 20, 7)], "id long, cpu int, time long, thread_in_id long"
+    )
+    stretches = overlays.on_cpu_stretches(switches).collect()
+    assert {(r.cpu, r.switch_in, r.switch_out) for r in stretches} == {(0, 10, 50), (0, 50, None), (1, 20, None)}
+    calls = spark.createDataFrame(
+        [(7, 1, 0, 15), (8, 2, 60, 90), (7, 3, 30, 400)], "thread_id long, id long, call_time long, return_time long"
+    )
+    got = {(r.call_id, r.cpu, r.overlap_start, r.overlap_end) for r in overlays.thread_on_cpu_calls(switches, calls).collect()}
+    assert got == {(1, 0, 10, 15), (2, 0, 60, 90), (3, 0, 30, 50), (3, 1, 30, 400)}
+
+
+def test_only_the_covering_range_of_a_tie_is_emptied(spark):
+    # Ranges 2 and 3 end at the same cycle; only 2 covers the overflow.
+    ranges = spark.createDataFrame(
+        [(1, None, 10, 5, 5, 5, 5), (2, 10, 20, 9, 4, 4, 4), (3, 20, 30, 9, 0, 3, 0)],
+        "end_sample_id long, start_time long, end_time long, end_cum_cyc long, cyc_count long, insn_count long, start_cum_cyc long",
+    ).withColumn("branch_type_name", F.lit("call"))
+    errors = spark.createDataFrame([(15, "Overflow packet")], "time long, msg string")
+    got = {r.end_sample_id: (r.is_gap, r.insn_count) for r in overlays.zero_fill_gaps(ranges, errors).collect()}
+    assert got == {1: (False, 5), 2: (True, 0), 3: (False, 3)}
+
+
 def test_on_cpu_and_violations(spark):
     view = View(0, 1000)
     switches = spark.createDataFrame([(50,), (700,), (None,)], "smio_call_time long")

@@ -6,13 +6,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.ordered import group_of
 from traceloom.session import materialise
 
-MAX_ROUNDS = 40
-
 
 def ancestor_chains(
     nodes: DataFrame,
@@ -21,17 +20,20 @@ def ancestor_chains(
     parent: str = "parent_id",
     columns: Sequence[str] = (),
     root: int = 0,
+    keys: Sequence[str] = (),
     max_depth: int | None = None,
 ) -> DataFrame:
-    """One row per node: ``id`` and ``chain``, the node itself and its ancestors, nearest first.
+    """One row per node: ``keys``, ``id`` and ``chain``, the node itself and its ancestors, nearest first.
 
     Chain elements are structs of ``id``, ``parent_id`` and ``columns``. A chain ends at ``root`` or
-    where the parent is missing; ``max_depth`` limits it to that many ancestors.
+    where the parent is missing; ``max_depth`` limits it to that many ancestors. Each combination of ``keys`` is a
+    forest of its own with its own root; ids are unique within it. Pointers in a circle raise ValueError, found
+    when a node meets itself, before its chain is twice as long as the circle and the way to it.
 
     Chains double in each round: a node appends the chain of the last ancestor it knows. A stack of
     depth ``d`` takes ``log2(d)`` joins instead of ``d``. Finished chains leave the join, and the root,
-    the one parent that nearly everything shares, is appended from a single broadcast row instead of
-    being a join key. Each round stores the chains it grew, so losing an executor never repeats earlier
+    the one parent that nearly everything shares, is appended from a table of one row per combination of
+    ``keys``. Each round stores the chains it grew, so losing an executor never repeats earlier
     rounds and a finished chain is written once. ``nodes`` is read several times: pass a stored table.
     """
     element = F.struct(
@@ -39,31 +41,40 @@ def ancestor_chains(
         F.col(parent).cast("long").alias("parent_id"),
         *[F.col(c) for c in columns],
     )
-    base = nodes.select(element.alias("_self"))
-    top = base.filter(F.col("_self.id") == root).limit(1).select(
-        F.lit(root).cast("long").alias("_root"), F.col("_self").alias("_top")
-    )
+    base = nodes.select(group_of(keys).alias("_group"), element.alias("_self"))
+    top = base.filter(F.col("_self.id") == root).select("_group", F.col("_self").alias("_top"))
     up = F.col("_self.parent_id")
     at_root = F.col("_self.id") == root
-    linked = base.withColumn("_root", F.when(~at_root, up)).join(F.broadcast(top), "_root", "left")
+    # Without keys the root is one row; with keys Spark broadcasts the roots if they are few.
+    linked = base.join(top if keys else F.broadcast(top), "_group", "left")
+    under_root = ~at_root & (up == root) & F.col("_top").isNotNull()
     state = linked.select(
+        "_group",
         F.col("_self.id").alias("id"),
-        F.when(F.col("_top").isNull(), F.array("_self")).otherwise(F.array("_self", "_top")).alias("chain"),
+        F.when(under_root, F.array("_self", "_top")).otherwise(F.array("_self")).alias("chain"),
         F.when(~at_root & (up != root), up).alias("_next"),
     )
     if max_depth is not None:
-        for _ in range(math.ceil(math.log2(max_depth + 1))):
+        rounds = math.ceil(math.log2(max_depth + 1))
+        for i in range(rounds):
             state = _done(state).unionByName(_doubled(_open(state), state))
-        return state.select("id", F.slice("chain", 1, max_depth + 1).alias("chain"))
+            if i + 1 < rounds:
+                state = materialise(state, "chains")
+        return state.select(*_names(keys), "id", F.slice("chain", 1, max_depth + 1).alias("chain"))
     finished, pending, known = [_done(state)], _open(state), state
-    for _ in range(MAX_ROUNDS):
+    while True:
         grown = materialise(_doubled(pending, known), "chains")
         finished.append(_done(grown))
         pending = _open(grown)
         if pending.isEmpty():
-            return reduce(DataFrame.unionByName, finished).select("id", "chain")
+            return reduce(DataFrame.unionByName, finished).select(*_names(keys), "id", "chain")
+        if not pending.filter(F.exists("chain", lambda f: f.id == F.col("_next"))).isEmpty():
+            raise ValueError("parent pointers form a cycle")
         known = reduce(DataFrame.unionByName, [*finished, pending])
-    raise ValueError("parent pointers form a cycle")
+
+
+def _names(keys: Sequence[str]) -> list[Column]:
+    return [F.col("_group")[k].alias(k) for k in keys]
 
 
 def _open(state: DataFrame) -> DataFrame:
@@ -76,20 +87,22 @@ def _done(state: DataFrame) -> DataFrame:
 
 def _doubled(pending: DataFrame, known: DataFrame) -> DataFrame:
     more = known.select(
-        F.col("id").alias("_next"), F.col("chain").alias("_more"), F.col("_next").alias("_then")
+        "_group", F.col("id").alias("_next"), F.col("chain").alias("_more"), F.col("_next").alias("_then")
     )
-    return pending.join(more, "_next", "left").select(
+    return pending.join(more, ["_group", "_next"], "left").select(
+        "_group",
         "id",
         F.when(F.col("_more").isNull(), F.col("chain")).otherwise(F.concat("chain", "_more")).alias("chain"),
         F.col("_then").alias("_next"),
     )
 
 
-def closure(chains: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+def closure(chains: DataFrame, columns: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """Chains as rows: each node with each of its ancestors and their distance ``depth`` (0 = itself)."""
     return chains.select(
-        F.col("id").alias("group_id"), F.posexplode("chain").alias("depth", "_node")
+        *keys, F.col("id").alias("group_id"), F.posexplode("chain").alias("depth", "_node")
     ).select(
+        *keys,
         "group_id",
         F.col("_node.id").alias("id"),
         F.col("_node.parent_id").alias("parent_id"),

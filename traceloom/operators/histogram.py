@@ -21,7 +21,8 @@ def log_histogram(
 
     ``edges`` points spaced evenly in log10 between the smallest value times ``low_factor`` and the largest
     times ``high_factor`` give ``edges - 1`` bins; each includes its lower edge and the last one also its
-    upper edge. Empty bins are returned with NULL measures dropped, i.e. only bins with rows appear.
+    upper edge. All bins are returned, empty ones with measures of 0. If all values are equal there is one bin,
+    of no width; without values there is none.
     """
     bins = edges - 1
     extent = df.agg(
@@ -35,14 +36,17 @@ def log_histogram(
         "bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), number)).cast("long")
     )
     step = (F.col("_x.high") - F.col("_x.low")) / bins
+    filled = binned.groupBy("bin").agg(*[m.alias(name) for name, m in measures.items()])
     return (
-        binned.groupBy("bin")
-        .agg(*[m.alias(name) for name, m in measures.items()])
+        df.sparkSession.range(bins)
+        .withColumnRenamed("id", "bin")
         .withColumn("_x", extent)
+        .filter((F.col("_x.high") > F.col("_x.low")) | (F.col("bin") == 0) & F.col("_x.low").isNotNull())
+        .join(filled, "bin", "left")
         .select(
             "bin",
             F.pow(F.lit(10.0), F.col("_x.low") + F.col("bin") * step).alias("lower_edge"),
             F.pow(F.lit(10.0), F.col("_x.low") + (F.col("bin") + 1) * step).alias("upper_edge"),
-            *measures,
+            *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in measures],
         )
     )

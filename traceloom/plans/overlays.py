@@ -93,9 +93,9 @@ def zero_fill_gaps(
     Untraced are ranges that end with a trace begin and ranges that cover an overflow. ``ranges`` needs
     ``branch_type_name``; pass a stored table.
     """
-    covered = errors_and_ranges(errors, ranges, rows_per_slice).select("end_cum_cyc").distinct()
+    covered = errors_and_ranges(errors, ranges, rows_per_slice).select("end_sample_id").distinct()
     covered = materialise(covered, "covered")
-    marked = ranges.join(covered.withColumn("_lost", F.lit(True)), "end_cum_cyc", "left").withColumn(
+    marked = ranges.join(covered.withColumn("_lost", F.lit(True)), "end_sample_id", "left").withColumn(
         "is_gap", F.coalesce("_lost", F.lit(False)) | F.coalesce(F.col("branch_type_name") == TRACE_BEGIN, F.lit(False))
     )
     duration = F.col("end_time") - F.col("start_time")
@@ -113,7 +113,10 @@ def zero_fill_gaps(
 
 
 def on_cpu_stretches(context_switches: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """Per switch record, the stretch its incoming thread holds the CPU: until the next switch there."""
+    """Per switch record, the stretch its incoming thread holds the CPU: until the next switch there.
+
+    The last stretch of a CPU is open: its ``switch_out`` is NULL.
+    """
     slices = quantile_slices(context_switches, "time", rows_per_slice)
     following = ordered_scan(
         context_switches.select("id", "cpu", "time", "thread_in_id"),
@@ -123,7 +126,7 @@ def on_cpu_stretches(context_switches: DataFrame, rows_per_slice: int = DEFAULT_
         leads={"until": "time"},
         slices=slices,
     )
-    return following.filter("until is not null").select(
+    return following.select(
         F.col("thread_in_id").alias("thread_id"),
         "cpu",
         F.col("time").alias("switch_in"),
@@ -134,8 +137,12 @@ def on_cpu_stretches(context_switches: DataFrame, rows_per_slice: int = DEFAULT_
 def thread_on_cpu_calls(
     context_switches: DataFrame, calls: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS
 ) -> DataFrame:
-    """Calls cut to the stretches in which their thread was on a CPU."""
-    stretches = materialise(on_cpu_stretches(context_switches, rows_per_slice), "stretches")
+    """Calls cut to the stretches in which their thread was on a CPU; an open stretch outlasts every call."""
+    last = calls.agg(F.max("return_time")).scalar()
+    stretches = on_cpu_stretches(context_switches, rows_per_slice).withColumn(
+        "switch_out", F.coalesce("switch_out", F.greatest("switch_in", last))
+    )
+    stretches = materialise(stretches, "stretches")
     timed = calls.select("thread_id", F.col("id").alias("call_id"), "call_time", "return_time")
     return overlap_join(
         stretches,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from traceloom.plans.ranges import View
 from traceloom.session import materialise
 
 KERNEL = "[kernel.kallsyms]"
+ROOT = 0
 # The frames between a system call's own function and the kernel entry, innermost first.
 SYSCALL_SHAPE = ["x64_sys_call", "do_syscall_64", "entry_SYSCALL_64"]
 ENTRY_DEPTH = 3
@@ -64,18 +66,32 @@ def stacks(calls: DataFrame, call_paths: DataFrame, symbols: DataFrame, dsos: Da
 
 
 def calls_near(calls: DataFrame, view: View) -> DataFrame:
-    """Calls that can share a stack with a frame in view, found by time alone.
+    """Calls with an end in view, their own or that of a frame above them, found by parent pointers.
 
-    A callee returns before its caller does. So every call below a frame with an end in the view lies within
-    the earliest call and the latest return of those frames, a range that the scan can filter on. Stacks of
-    these calls have the same frames in view as whole stacks. Not for tables where calls outlive their
-    callers.
+    Stacks of these calls have the same frames in view as whole stacks, also where calls are open or outlive
+    their callers: what lies between a call and its highest frame in view is below that frame too. Each round
+    doubles the distance a call looks up, carrying an id and a flag only; calls that met a frame in view or
+    the end of their stack leave.
     """
-    inside = calls.filter(ends_inside(F.col("call_time"), F.col("return_time"), view.start, view.end))
-    low, high = inside.agg(F.min("call_time"), F.max("return_time")).first()
-    if low is None:
-        return calls.limit(0)
-    return calls.filter((F.col("call_time") >= low) & (F.col("return_time") <= high))
+    inside = F.coalesce(ends_inside(F.col("call_time"), F.col("return_time"), view.start, view.end), F.lit(False))
+    if not calls.filter((F.col("id") == ROOT) & inside).isEmpty():
+        return calls  # the root is above nearly everything
+    up = F.when(~inside & (F.col("id") != ROOT) & (F.col("parent_id") != ROOT), F.col("parent_id"))
+    state = materialise(calls.select("id", inside.alias("near"), up.alias("up")), "near")
+    found, pending = [state.filter("near").select("id")], state.filter("up is not null")
+    # A way up meets each of these calls at most once, so more rounds than that mean a circle.
+    for _ in range(pending.count().bit_length() + 1):
+        if pending.isEmpty():
+            return calls.join(reduce(DataFrame.unionAll, found), "id", "left_semi")
+        known = reduce(DataFrame.unionAll, [f.select("id", F.lit(True), F.lit(None).cast("long")) for f in found])
+        known = known.unionAll(pending.select("id", F.lit(False), "up")).toDF("up", "_near", "_up")
+        grown = pending.join(known, "up", "left").select(
+            "id", F.coalesce("_near", F.lit(False)).alias("near"), F.col("_up").alias("up")
+        )
+        grown = materialise(grown, "near")
+        found.append(grown.filter("near").select("id"))
+        pending = grown.filter("up is not null")
+    raise ValueError("parent pointers form a cycle")
 
 
 def _frames_in_view(stack: DataFrame, view: View | None) -> DataFrame:
@@ -251,7 +267,7 @@ def errors_and_ranges(
         left_on="time",
         right_on="end_time",
         right_id="end_sample_id",
-        columns={c: c for c in ("start_time", "start_cum_cyc", "end_time", "end_cum_cyc", "cyc_count")},
+        columns={c: c for c in ("end_sample_id", "start_time", "start_cum_cyc", "end_time", "end_cum_cyc", "cyc_count")},
         how="left",
         rows_per_slice=rows_per_slice,
     )
