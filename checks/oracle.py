@@ -179,7 +179,7 @@ select t.end_sample_id, edge_cyc, l.end_sample_id as leading_sample_id, l.end_cu
 from (select end_sample_id, end_cum_cyc + {WINDOW} - 1 as edge_cyc from ranges) as t
   asof join ranges as l on l.end_cum_cyc >= t.edge_cyc
 """
-BODIES["sliding_window"] = "select * from both_sides"
+BODIES["sliding_window"] = "select * exclude (_before_leading_cyc, _before_leading_insns) from both_sides"
 BODIES["ipc_spans"] = f"""
 select window_end_cum_cyc, window_start_cum_cyc, end_time, cast(interior_insns as double) / {WINDOW} as conservative_ipc,
   cast(trailing_insns + leading_insns + interior_insns as double) / {WINDOW} as optimistic_ipc,
@@ -251,8 +251,8 @@ BODIES["iteration_latency"] = "select * from latency"
 BODIES["log_histogram"] = _histogram("latency", "latency_ns", 49, "count(*) as n", "n", "0.99::double", "1.01::double")
 BODIES["interval_overlap_join"] = """
 select a.id as a_id, b.id as b_id, greatest(a.time, b.time) as overlap_start,
-  least(a.time + 1800000000, b.time + 1200000000) as overlap_end
-from ev as a join ev as b on a.time < b.time + 1200000000 and b.time < a.time + 1800000000 where (b.id - 1) % 5 = 0
+  least(a.time + 21600000000, b.time + 14400000000) as overlap_end
+from ev as a join ev as b on a.user_id = b.user_id and a.time < b.time + 14400000000 and b.time < a.time + 21600000000
 """
 
 BODIES["samples_for_cdf"] = "select * from for_cdf"
@@ -374,9 +374,11 @@ with marked as (select r.*, coalesce(branch_type_name = 'trace begin', false)
 rate as (select cast(sum(cyc_count) as double) / sum(end_time - start_time) as r from marked
   where not is_gap and start_time is not null)
 select end_sample_id, start_time, end_time, is_gap, case when is_gap then 0 else insn_count end as insn_count,
-  case when is_gap then coalesce(cast(round((end_time - start_time) * r) as bigint), cyc_count) else cyc_count end
-    as cyc_count
-from marked, rate
+  filled as cyc_count, cast(sum(case when is_gap then 0 else insn_count end) over w as bigint) as end_cum_insns,
+  cast(sum(filled) over w as bigint) as end_cum_cyc
+from (select *, case when is_gap then coalesce(cast(round((end_time - start_time) * r) as bigint), cyc_count)
+  else cyc_count end as filled from marked, rate)
+window w as (order by end_sample_id)
 """
 BODIES["thread_on_cpu_calls"] = """
 select c.thread_id, s.cpu, c.id as call_id, greatest(s.time, c.call_time) as overlap_start,

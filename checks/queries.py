@@ -34,6 +34,11 @@ def fixture_ranges(f: Fixture) -> DataFrame:
     return ranges.stored_ranges(f.samples, slices=WIDTH)
 
 
+def counted_samples(f: Fixture) -> DataFrame:
+    """Counted samples, whose counts are those of the range each ends, with the branch type name."""
+    return ranges.timestamped_samples(f.sample_names())
+
+
 def named_ranges(f: Fixture, store: bool = True) -> DataFrame:
     """Ranges with the branch type name."""
     plain = ranges.timestamped_ranges(f.samples, names=["branch_type"], slices=WIDTH)
@@ -488,14 +493,16 @@ def rounded_edges(histogram: DataFrame) -> DataFrame:
 
 @query("interval_overlap_join")
 def _(f: Fixture) -> DataFrame:
-    minute = 60_000_000
+    hour = 3_600_000_000
     a = f.ev.select(
-        F.col("id").alias("a_id"), F.col("time").alias("a_start"), (F.col("time") + 30 * minute).alias("a_end")
+        "user_id", F.col("id").alias("a_id"), F.col("time").alias("a_start"), (F.col("time") + 6 * hour).alias("a_end")
     )
-    b = f.ev.filter((F.col("id") - 1) % 5 == 0).select(
-        F.col("id").alias("b_id"), F.col("time").alias("b_start"), (F.col("time") + 20 * minute).alias("b_end")
+    b = f.ev.select(
+        "user_id", F.col("id").alias("b_id"), F.col("time").alias("b_start"), (F.col("time") + 4 * hour).alias("b_end")
+    )
+    pairs = overlap_join(
+        a, b, a_interval=("a_start", "a_end"), b_interval=("b_start", "b_end"), keys=["user_id"]
     )
-    pairs = overlap_join(a, b, a_interval=("a_start", "a_end"), b_interval=("b_start", "b_end"))
     return pairs.select("a_id", "b_id", "overlap_start", "overlap_end")
 
 
@@ -504,27 +511,27 @@ def _(f: Fixture) -> DataFrame:
 
 @query("samples_for_cdf")
 def _(f: Fixture) -> DataFrame:
-    return distribution.samples_for_cdf(named_ranges(f), width=SLICE_ROWS)
+    return distribution.samples_for_cdf(counted_samples(f), width=SLICE_ROWS)
 
 
 @query("range_cdf")
 def _(f: Fixture) -> DataFrame:
-    return distribution.range_cdf(named_ranges(f), width=SLICE_ROWS)
+    return distribution.range_cdf(counted_samples(f), width=SLICE_ROWS)
 
 
 @query("cdf_tail")
 def _(f: Fixture) -> DataFrame:
-    return distribution.cdf_tail(distribution.range_cdf(named_ranges(f), width=SLICE_ROWS))
+    return distribution.cdf_tail(distribution.range_cdf(counted_samples(f), width=SLICE_ROWS))
 
 
 @query("insn_class_share")
 def _(f: Fixture) -> DataFrame:
-    return distribution.insn_class_share(named_ranges(f), width=SLICE_ROWS)
+    return distribution.insn_class_share(counted_samples(f), width=SLICE_ROWS)
 
 
 @query("log_histogram_weighted")
 def _(f: Fixture) -> DataFrame:
-    shares = materialise(distribution.insn_class_share(named_ranges(f), width=SLICE_ROWS), "shares")
+    shares = materialise(distribution.insn_class_share(counted_samples(f), width=SLICE_ROWS), "shares")
     found = rounded_edges(distribution.weighted_histogram(shares))
     weights = [c for c in found.columns if c.startswith("weighted_insn_count_")]
     return found.withColumns({c: F.round(c, 9) for c in weights})
@@ -687,14 +694,15 @@ def _(f: Fixture) -> DataFrame:
 def _(f: Fixture) -> DataFrame:
     minute = 60_000_000
     aligned = overlays.event_aligned_ipc(
-        fixture_ranges(f), f.context_switches.select("time"), 60 * minute, 60 * minute, 5 * minute
+        fixture_ranges(f), f.context_switches.select("time"), 60 * minute, 60 * minute, 5 * minute,
+        rows_per_slice=SLICE_ROWS,
     )
     return aligned.withColumns({c: F.round(c, 2) for c in ("insns", "cycles", "ipc")})
 
 
 @query("zero_fill_gaps")
 def _(f: Fixture) -> DataFrame:
-    return overlays.zero_fill_gaps(named_ranges(f), f.auxtrace_errors, SLICE_ROWS)
+    return overlays.zero_fill_gaps(named_ranges(f), f.auxtrace_errors, SLICE_ROWS, WIDTH)
 
 
 @query("thread_on_cpu_calls")

@@ -1,4 +1,8 @@
-"""How long ranges are, and how many instructions they hold."""
+"""How long ranges are, and how many instructions they hold.
+
+A range has the counts and the branch type of the sample it ends with, so ``ranges`` may be counted samples as
+well: the distribution needs no order, and so no ordered scan and no stored ranges.
+"""
 
 from __future__ import annotations
 

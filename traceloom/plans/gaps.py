@@ -13,11 +13,27 @@ from traceloom.session import materialise
 
 
 def number_errors(errors: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """Give the errors an ``id`` from 0 in order of time, cpu and code."""
+    """Give the errors an ``id`` from 0 in order of time, cpu and code; further ties follow a hash of all columns.
+
+    Equal rows are counted before anything is ordered. Rows that share time, cpu and code are ranked among
+    themselves in slices of the hash, so a burst of errors at one place is spread over many tasks.
+    """
+    place = ["time", "cpu", "code"]
+    rows = errors.groupBy(*errors.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = materialise(rows.withColumn("_hash", F.xxhash64(*errors.columns)), "errors")
     tie = F.shiftleft(F.coalesce("cpu", F.lit(0)).cast("long"), 32) + F.coalesce("code", F.lit(0))
-    slices = quantile_slices(errors, "time", rows_per_slice)
-    numbered = ordered_scan(errors.withColumn("_tie", tie), "time", tie="_tie", row_number="_n", slices=slices)
-    return numbered.select((F.col("_n") - 1).alias("id"), *errors.columns)
+    places = rows.groupBy(*place).agg(F.sum("_rows").alias("_here")).withColumn("_tie", tie)
+    places = materialise(places, "error_places")
+    upto = ordered_scan(
+        places, "time", tie="_tie", sums={"_upto": "_here"}, slices=quantile_slices(places, "time", rows_per_slice)
+    ).select(*[F.col(c).alias(f"_{c}") for c in place], (F.col("_upto") - F.col("_here")).alias("_base"))
+    within = ordered_scan(
+        rows, "_hash", keys=place, sums={"_rank": "_rows"}, slices=quantile_slices(rows, "_hash", rows_per_slice)
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    last = F.col("_base") + F.col("_rank") - 1
+    ids = F.explode(F.sequence(last - F.col("_rows") + 1, last))
+    return within.join(upto, same).select(ids.alias("id"), *errors.columns)
 
 
 def error_gaps(
@@ -136,12 +152,18 @@ def error_free_ranges(samples: DataFrame, rows_per_slice: int = DEFAULT_SLICE_RO
 
     The last stretch stays open: its end is NULL.
     """
-    counted = timestamped_samples(samples).select("id", "time")
-    first_time = counted.agg(F.min("time")).scalar()
+    is_counted = F.coalesce((F.col("insn_count") > 0) | (F.col("cyc_count") > 0), F.lit(False))
+    begins = F.coalesce(F.col("branch_type_name") == TRACE_BEGIN, F.lit(False))
+    narrow = materialise(samples.select("id", "time", is_counted.alias("_counted"), begins.alias("_begins")), "times")
+    counted = narrow.filter("_counted").select("id", "time")
+    first_time, begin, end = narrow.agg(
+        F.min(F.when(F.col("_counted"), F.col("time"))), F.min(F.when(F.col("time") > 0, F.col("time"))), F.max("time")
+    ).first()
+    begin, end = F.lit(begin).cast("long"), F.lit(end).cast("long")
     starts = (
-        samples.filter(F.col("branch_type_name") == TRACE_BEGIN)
+        narrow.filter("_begins")
         .select("id", "time")
-        .unionByName(counted.filter(F.col("time") == first_time))
+        .unionByName(counted.filter(F.col("time") == F.lit(first_time).cast("long")))
     )
     starts = materialise(starts, "starts")
     following = materialise(ordered_scan(starts, "id", leads={"next_time": "time"}), "starts")
@@ -159,8 +181,6 @@ def error_free_ranges(samples: DataFrame, rows_per_slice: int = DEFAULT_SLICE_RO
     start_ids = (
         counted.join(start_times, "time", "left_semi").groupBy("time").agg(F.min("id").alias("start_id"))
     ).withColumnRenamed("time", "start_time")
-    begin = samples.agg(F.min(F.when(F.col("time") > 0, F.col("time")))).scalar()
-    end = samples.agg(F.max("time")).scalar()
     return ended.join(start_ids, "start_time", "left").select(
         (F.col("end_time") - F.col("start_time")).alias("duration"),
         "start_time",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.columns import ratio
-from traceloom.operators import ordered_scan, overlap_join, quantile_slices
+from traceloom.operators import WidthSlices, asof_join, ordered_scan, overlap_join, quantile_slices
 from traceloom.operators.slices import DEFAULT_SLICE_ROWS
 from traceloom.plans.distribution import TRACE_BEGIN
 from traceloom.plans.timeline import calls_by_symbol, errors_and_ranges, following_calls
@@ -48,50 +48,95 @@ def ipc_buckets(ranges: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def event_aligned_ipc(
-    ranges: DataFrame, events: DataFrame, before: int, after: int, step: int, keys: Sequence[str] = ()
+    ranges: DataFrame,
+    events: DataFrame,
+    before: int,
+    after: int,
+    step: int,
+    keys: Sequence[str] = (),
+    rows_per_slice: int = DEFAULT_SLICE_ROWS,
 ) -> DataFrame:
     """Average IPC as a function of the time since an event (column ``time`` of ``events``).
 
-    Each range is cut at the offset buckets around every event it is near, and shares its counts out
-    evenly over its duration.
+    A range shares its counts out evenly over its duration. The ranges of a key must follow each other in time,
+    as those of one trace do; pass a stored table. What is left to come after a time is a running total plus a
+    share of the range under way, so each event asks one as-of question per bucket edge and takes differences.
+    Pairs of ranges and events are never formed: the work is that of the ranges plus events times edges.
     """
+    edges = sorted({-before, after, *range(-(before // step) * step, after, step)})
     spans = ranges.filter("start_time < end_time").select(
-        *keys, "start_time", "end_time", "insn_count", "cyc_count"
+        *keys, "start_time", "end_time", "end_sample_id", "insn_count", "cyc_count", (-F.col("end_time")).alias("_back")
+    )
+    to_come = materialise(
+        ordered_scan(
+            spans,
+            "_back",
+            tie="end_sample_id",
+            keys=keys,
+            sums={"_insns": "insn_count", "_cycles": "cyc_count"},
+            slices=quantile_slices(spans, "_back", rows_per_slice),
+        ),
+        "to_come",
     )
-    around = events.select(
-        *keys,
-        F.col("time").alias("event_time"),
-        (F.col("time") - before).alias("from_time"),
-        (F.col("time") + after).alias("to_time"),
+    asked = events.filter("time is not null").select(
+        *keys, "time", F.posexplode(F.array(*[F.lit(e).cast("long") for e in edges])).alias("_edge", "_offset")
     )
-    near = overlap_join(
-        spans, around, a_interval=("start_time", "end_time"), b_interval=("from_time", "to_time"), keys=keys
+    found = asof_join(
+        asked.select(*keys, "_edge", (F.col("time") + F.col("_offset")).alias("_at")),
+        to_come,
+        left_on="_at",
+        right_on="end_time",
+        right_id="end_sample_id",
+        columns={c: c for c in ("start_time", "end_time", "insn_count", "cyc_count", "_insns", "_cycles")},
+        keys=keys,
+        how="inner",
+        rows_per_slice=rows_per_slice,
     )
-    offset = F.col("overlap_start") - F.col("event_time")
-    last = F.col("overlap_end") - 1 - F.col("event_time")
-    cut = near.withColumn(
-        "offset_bucket", F.explode(F.sequence(F.floor(offset / step), F.floor(last / step)))
+    # Whole counts are summed exactly; only the share of the range under way is a fraction.
+    under_way = F.col("_at") > F.col("start_time")
+    left = ratio(F.col("end_time") - F.col("_at"), F.col("end_time") - F.col("start_time"))
+    sums = []
+    for count, total in (("insn_count", "_insns"), ("cyc_count", "_cycles")):
+        whole = F.when(under_way, F.col(total) - F.col(count)).otherwise(F.col(total))
+        sums.append(F.sum(whole.cast("decimal(20,0)")).alias(f"{total}_whole"))
+        sums.append(F.sum(F.when(under_way, F.col(count) * left).otherwise(0.0)).alias(f"{total}_part"))
+    # An edge begins one bucket and ends the one before.
+    role = F.array(
+        F.struct(F.col("_edge").alias("_from"), F.lit(1).alias("_sign")),
+        F.struct((F.col("_edge") - 1).alias("_from"), F.lit(-1).alias("_sign")),
     )
-    low = F.col("event_time") + F.col("offset_bucket") * step
-    inside = F.least("overlap_end", low + step) - F.greatest("overlap_start", low)
-    share = ratio(inside, F.col("end_time") - F.col("start_time"))
+    roles = found.groupBy("_edge").agg(*sums).select("*", F.inline(role))
+    totals = {
+        out: F.sum(F.col(f"{total}_whole") * F.col("_sign")).cast("double")
+        + F.sum(F.col(f"{total}_part") * F.col("_sign"))
+        for out, total in (("insns", "_insns"), ("cycles", "_cycles"))
+    }
+    first_edge = F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("_from") + 1)
     return (
-        cut.groupBy("offset_bucket")
-        .agg(
-            F.sum(F.col("insn_count") * share).alias("insns"),
-            F.sum(F.col("cyc_count") * share).alias("cycles"),
+        roles.filter(F.col("_from").between(0, len(edges) - 2))
+        .groupBy("_from")
+        .agg(*[c.alias(out) for out, c in totals.items()])
+        .filter("insns > 0 or cycles > 0")
+        .select(
+            F.floor(first_edge / step).alias("offset_bucket"),
+            "insns",
+            "cycles",
+            ratio(F.col("insns"), F.col("cycles")).alias("ipc"),
         )
-        .select("offset_bucket", "insns", "cycles", ratio(F.col("insns"), F.col("cycles")).alias("ipc"))
     )
 
 
 def zero_fill_gaps(
-    ranges: DataFrame, errors: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS
+    ranges: DataFrame,
+    errors: DataFrame,
+    rows_per_slice: int = DEFAULT_SLICE_ROWS,
+    slices: WidthSlices | None = None,
 ) -> DataFrame:
     """Ranges with the untraced ones emptied: no instructions, cycles in proportion to their duration.
 
     Untraced are ranges that end with a trace begin and ranges that cover an overflow. ``ranges`` needs
-    ``branch_type_name``; pass a stored table.
+    ``branch_type_name``; pass a stored table. The axis of cumulative cycles is drawn up anew, so the result can
+    be stored and given to the sliding window; ``slices`` cut it by ``end_sample_id``.
     """
     covered = errors_and_ranges(errors, ranges, rows_per_slice).select("end_sample_id").distinct()
     covered = materialise(covered, "covered")
@@ -102,7 +147,7 @@ def zero_fill_gaps(
     traced = marked.filter(~F.col("is_gap") & F.col("start_time").isNotNull())
     rate = traced.agg(ratio(F.sum("cyc_count"), F.sum(duration))).scalar()
     cycles = F.coalesce(F.round(duration * rate).cast("long"), F.col("cyc_count"))
-    return marked.select(
+    filled = marked.select(
         "end_sample_id",
         "start_time",
         "end_time",
@@ -110,6 +155,10 @@ def zero_fill_gaps(
         F.when(F.col("is_gap"), F.lit(0).cast("long")).otherwise(F.col("insn_count")).alias("insn_count"),
         F.when(F.col("is_gap"), cycles).otherwise(F.col("cyc_count")).alias("cyc_count"),
     )
+    filled = materialise(filled, "filled")
+    return ordered_scan(
+        filled, "end_sample_id", sums={"end_cum_insns": "insn_count", "end_cum_cyc": "cyc_count"}, slices=slices
+    )
 
 
 def on_cpu_stretches(context_switches: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS) -> DataFrame:
