@@ -35,7 +35,7 @@ def signs(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """BITS / 8 bytes per row of weighted sums of signs."""
+    """BITS / 8 bytes per row of sums of signs, each times the root of its shingle's weight."""
     return np.packbits(sums > 0, axis=1)
 
 
@@ -59,7 +59,11 @@ class Items:
         self.weights = np.log1p(self.count / frequency).astype(np.float64)
         self.other = float(np.log1p(self.count))
         self.sets = [(np.searchsorted(self.known, d), float(self.weights[np.searchsorted(self.known, d)].sum())) for d in distinct]
-        prints = [fingerprints(self.weights[np.searchsorted(self.known, s)][None, :].astype(np.float32) @ signs(s)) for s in self.shingles]
+        # Bit distances follow the squares of the factors of the signs, similarity the plain weights: hence the roots.
+        # Sums of 32-bit roots are exact in 64 bits, so equal windows have equal fingerprints wherever they lie.
+        self.roots = np.sqrt(self.weights).astype(np.float32)
+        self.other_root = np.sqrt(self.other).astype(np.float32)
+        prints = [fingerprints(self.roots[np.searchsorted(self.known, s)][None, :].astype(np.float64) @ signs(s)) for s in self.shingles]
         self.prints = np.concatenate(prints)
         # By block and value the items with that value: positions in a sorted array of 256 * block + value.
         keys = (np.arange(BLOCKS) * 256)[None, :] + self.prints
@@ -128,7 +132,8 @@ class Items:
         local, mine = places[low:high], shingles[low:high]
         weight = np.where(local >= 0, self.weights[local], self.other).astype(np.float32)
         sums = np.zeros((high - low + 1, BITS), np.float64)
-        np.cumsum(signs(mine) * weight[:, None], axis=0, out=sums[1:])
+        root = np.where(local >= 0, self.roots[local], self.other_root)
+        np.cumsum(signs(mine) * root[:, None], axis=0, out=sums[1:])
         # A window can only reach the threshold if the shingles that some item holds make up that share of its weight.
         # Where a shingle repeats, sums are no bound of a set's weight: then one such shingle is enough.
         held = np.append(0, np.cumsum(np.where(local >= 0, weight, 0).astype(np.float64)))
