@@ -234,6 +234,22 @@ def test_edited_copies_of_shared_items(sharers):
     assert missed <= 1
 
 
+def test_one_pass_over_the_benchmark_equals_many(spark):
+    rnd = random.Random(8)
+    fresh = lambda k: [f"u{rnd.getrandbits(60)}" for _ in range(k)]
+    head, tail = fresh(40), fresh(30)
+    texts = [head + fresh(rnd.randint(3, 12)) for _ in range(30)] + [fresh(9) + tail for _ in range(30)] + [fresh(25) for _ in range(30)]
+    rows = []
+    for k in range(120):
+        copy = list(rnd.choice(texts))
+        copy[rnd.randrange(len(copy))] = fresh(1)[0]
+        rows.append((k, " ".join(fresh(rnd.randint(0, 20)) + copy + fresh(rnd.randint(0, 20)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    one, many = ({tuple(r) for r in contamination(docs, benchmark, pass_bytes=size).collect()} for size in (1 << 20, 10_000))
+    assert len({r[4] for r in one}) > 5 and one == many
+
+
 def test_quality(spark):
     rnd = random.Random(3)
     good = lambda: " ".join(rnd.choice(["the", "house", "green", "walks", "over"]) for _ in range(60)).capitalize() + "."

@@ -10,6 +10,7 @@ the threshold's share cannot reach it with any item and are not fingerprinted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,51 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+class Benchmark(NamedTuple):
+    """What weights and windows need of all items: how many have words, the shingles that several hold, the items' lengths."""
+
+    count: int
+    shared: np.ndarray
+    frequency: np.ndarray
+    lengths: np.ndarray
+
+
+def item_words(text: str | None) -> np.ndarray:
+    return Words(next(slices(pa.array([text], pa.string())))[1], NOT_ALNUM).hashes
+
+
+def measure(benchmark: DataFrame) -> Benchmark:
+    """Counts over the whole benchmark; the driver gets a row per shingle that several items hold and one per length."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([len(item_words(text)) for text in batch.column("text").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[found > 0])], names=["words"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = np.unique(shingle_hashes(item_words(text)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+    texts = benchmark.select("text")
+    sizes = texts.mapInArrow(lengths, "words long").groupBy("words").count().toArrow()
+    held = texts.mapInArrow(shingles, "shingle long").groupBy("shingle").count().where("count > 1").toArrow()
+    shared, frequency = held["shingle"].to_numpy().view(np.uint64), held["count"].to_numpy()
+    order = np.argsort(shared)
+    return Benchmark(int(sizes["count"].to_numpy().sum()), shared[order], frequency[order], np.sort(sizes["words"].to_numpy()))
+
+
 class Items:
-    """A benchmark as arrays: the items' shingles with weights, fingerprints, and the multi-index over them."""
+    """Items of a benchmark as arrays: their shingles with weights, fingerprints, and the multi-index over them.
+
+    ``whole`` is the ``Benchmark`` that the items are a part of; without it they are the whole of it.
+    """
 
-    def __init__(self, names: list, texts: list[str | None]):
+    def __init__(self, names: list, texts: list[str | None], whole: Benchmark | None = None):
         self.names, self.words, self.shingles = [], [], []
         for name, text in zip(names, texts):
-            words = Words(next(slices(pa.array([text], pa.string())))[1], NOT_ALNUM).hashes
+            words = item_words(text)
             if len(words):
                 self.names.append(name)
                 self.words.append(len(words))
@@ -54,10 +93,18 @@ class Items:
         if not self.count:
             return
         distinct = [np.unique(s) for s in self.shingles]
-        self.known, frequency = np.unique(np.concatenate(distinct), return_counts=True)
+        own, frequency = np.unique(np.concatenate(distinct), return_counts=True)
+        if whole is None:
+            whole = Benchmark(self.count, own[frequency > 1], frequency[frequency > 1], np.unique(np.array(self.words)))
+        # Shingles of other parts that a single item holds weigh as unknown ones do, so the shared ones are all there is to know.
+        self.known = np.union1d(own, whole.shared)
+        self.own = np.isin(self.known, own, assume_unique=True)
+        frequency = np.ones(len(self.known), np.int64)
+        frequency[np.searchsorted(self.known, whole.shared)] = whole.frequency
         # A shingle weighs the more the fewer items hold it; one that no item holds weighs as one that a single item holds.
-        self.weights = np.log1p(self.count / frequency).astype(np.float64)
-        self.other = float(np.log1p(self.count))
+        # Weights are multiples of 2^-24, so their sums are exact and no order of adding changes a similarity.
+        self.weights = np.round(np.log1p(whole.count / frequency) * 2**24) / 2**24
+        self.other = float(np.round(np.log1p(whole.count) * 2**24) / 2**24)
         self.sets = [(np.searchsorted(self.known, d), float(self.weights[np.searchsorted(self.known, d)].sum())) for d in distinct]
         # Bit distances follow the squares of the factors of the signs, similarity the plain weights: hence the roots.
         # Sums of 32-bit roots are exact in 64 bits, so equal windows have equal fingerprints wherever they lie.
@@ -70,12 +117,12 @@ class Items:
         order = np.argsort(keys.ravel(), kind="stable")
         self.holders = order // BLOCKS
         self.starts = np.searchsorted(keys.ravel()[order], np.arange(BLOCKS * 256 + 1))
-        self.lengths = np.unique(np.array(self.words))
+        self.lengths = whole.lengths
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def positions(self, shingles: np.ndarray) -> np.ndarray:
-        """The shingles' places in ``known``, -1 for those that no item holds."""
+        """The shingles' places in ``known``, -1 for those that weigh as one that no item holds."""
         place = np.full(len(shingles), -1, np.int64)
         maybe = np.flatnonzero(self.filter[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.known, shingles[maybe]), len(self.known) - 1)
@@ -115,7 +162,7 @@ class Items:
         if not len(shingles):
             return []
         places = self.positions(shingles)
-        hits = np.flatnonzero(places >= 0)
+        hits = np.flatnonzero((places >= 0) & self.own[places])
         if not len(hits):
             return []
         best: dict[int, tuple] = {}
@@ -130,14 +177,14 @@ class Items:
 
     def _region(self, low, high, places, shingles, total, threshold, best) -> None:
         local, mine = places[low:high], shingles[low:high]
-        weight = np.where(local >= 0, self.weights[local], self.other).astype(np.float32)
+        weight = np.where(local >= 0, self.weights[local], self.other)
         sums = np.zeros((high - low + 1, BITS), np.float64)
         root = np.where(local >= 0, self.roots[local], self.other_root)
         np.cumsum(signs(mine) * root[:, None], axis=0, out=sums[1:])
-        # A window can only reach the threshold if the shingles that some item holds make up that share of its weight.
+        # A window can only reach the threshold if the shingles that items of this part hold make up that share of its weight.
         # Where a shingle repeats, sums are no bound of a set's weight: then one such shingle is enough.
-        held = np.append(0, np.cumsum(np.where(local >= 0, weight, 0).astype(np.float64)))
-        weights = np.append(0, np.cumsum(weight.astype(np.float64)))
+        held = np.append(0, np.cumsum(np.where((local >= 0) & self.own[local], weight, 0)))
+        weights = np.append(0, np.cumsum(weight))
         least = threshold - 1e-4 if len(np.unique(mine)) == len(mine) else 0.0
         windows = []
         for length in self.lengths.tolist():
@@ -159,8 +206,10 @@ class Items:
             for r, i in zip(row.tolist(), item.tolist()):
                 begin, end = int(a[r]), int(a[r] + b[r])
                 similarity = self.similarity(local[begin:end], mine[begin:end], i)
-                if similarity >= threshold and (i not in best or similarity > best[i][2]):
-                    best[i] = (low + begin, int(lengths[at + r]), similarity)
+                new = (low + begin, int(lengths[at + r]), similarity)
+                # Of equally similar windows the shortest, then the first one, in whichever region it lies.
+                if similarity >= threshold and (i not in best or (-similarity, new[1], new[0]) < (-best[i][2], best[i][1], best[i][0])):
+                    best[i] = new
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -169,7 +218,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; shingles have five words, a shorter
     text is one shingle (an item of under five words is found only as a whole such text). Similarity is the weighted Jaccard similarity of the shingle sets. Null or
     wordless texts and items match nothing; repeated rows each report; other columns are ignored. The benchmark is
-    sent to the tasks in passes of at most ``pass_bytes`` of text; documents are never shuffled.
+    sent to the tasks in passes of about ``pass_bytes`` of text; documents are never shuffled. Weights and window
+    lengths are those of the whole benchmark, so passes do not change results; each task holds 16 bytes for every
+    shingle that several items hold.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -177,6 +228,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // pass_bytes) or 1
+    whole = measure(benchmark)
+    shared = spark.sparkContext.broadcast(tuple(whole))
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     out = None
     for k in range(passes):
@@ -185,7 +238,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(*sent.value)
+            items = Items(*sent.value, Benchmark(*shared.value))
             for batch in batches:
                 found: list[tuple] = []
                 names = batch.column("doc_id").to_pylist()
