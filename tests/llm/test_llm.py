@@ -171,6 +171,27 @@ def test_near_duplicates(docs, texts):
     assert keep_representatives(docs.where("false")).count() == 0
 
 
+def test_rows_are_judged_by_their_texts_not_their_ids(spark):
+    text = lambda name, k=60: " ".join(f"{name}{i}" for i in range(k))
+    near = lambda name: text(name) + " changed"
+    rows = [
+        (1, text("a"), "a"), (7, near("a"), "a near"), (7, text("b"), "b"), (7, text("c"), "c"), (3, near("c"), "c near"),
+        (9, text("d"), "d"), (9, near("d"), "d near"), (None, text("a"), "null a"), (None, text("e"), "e"),
+        (None, text("e"), "e again"), (None, near("e"), "e near"), (None, text("b"), "null b"), (None, None, "none"),
+        (None, None, "none again"), (5, "", "blank"), (5, "", "blank again"), (5, " ", "other blank"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number string").repartition(3)
+    left = keep_representatives(docs)
+    assert left.columns == docs.columns
+    names = sorted(r.row_number.split()[0] if r.row_number[0] in "de" else r.row_number.removesuffix(" again") for r in left.collect())
+    assert names == ["a", "b", "blank", "c near", "d", "e", "none", "none", "other blank"]
+    found = near_duplicates(docs).collect()
+    assert sorted(r.component_id or 0 for r in found if r.kept) == [0, 0, 0, 1, 3, 5, 5, 7, 9]
+    benchmark = spark.createDataFrame([(0, text("a"))], "item_id long, text string")
+    clean = {r.row_number for r in keep_clean(docs, benchmark).collect()}
+    assert clean == {name for _, _, name in rows} - {"a", "a near", "null a"}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rnd.randint(0, 60), 100 + rnd.randint(0, 60)) for _ in range(30)]

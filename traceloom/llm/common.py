@@ -37,6 +37,14 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, [paths]), root])
 
 
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` stored with a number of its own for each row, and that column's name, which ``df`` does not have."""
+    name = "row_number"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def crc32_of_id(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import BASE, NOT_ALNUM, Words, mix, prepare, shingle_hashes, slices
+from traceloom.llm.common import BASE, NOT_ALNUM, Words, mix, numbered, prepare, shingle_hashes, slices
 from traceloom.session import materialise
 
 BITS = 128
@@ -260,9 +260,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` in whose documents no benchmark item is found, with all their columns.
+    """The rows of ``docs`` in whose texts no benchmark item is found, with all their columns.
 
-    All rows of a document go that holds an item in one of them; rows without a doc_id always stay.
+    Rows are judged one by one, whatever their doc_id, which may be null or repeated.
     """
-    found = contamination(docs, benchmark, threshold).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialise(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    stored, row = numbered(docs, "documents")
+    texts = stored.select(F.col(row).alias("doc_id"), "text")
+    found = contamination(texts, benchmark, threshold).select(F.col("doc_id").alias(row)).distinct()
+    return stored.join(materialise(found, "contaminated"), row, "left_anti").select(*docs.columns)

@@ -9,6 +9,7 @@ standard deviations of room, form groups, and within groups all pairs are compar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from traceloom.llm.common import (
     in_blocks,
     local_components,
     mix,
+    numbered,
     prepare,
     run_starts,
     runs,
@@ -71,19 +73,26 @@ def list_keys(sketch: np.ndarray, complete: bool) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, sketch, keys): the set's size, its two fingerprints, its sketch and its list keys."""
-    schema = "doc_id long, n long, f1 long, f2 long, sketch binary, keys array<long>"
+    """(row, doc_id, n, f1, f2, sketch, keys): the set's size, its two fingerprints, its sketch and its list keys.
+
+    The fingerprints of an empty set are of the doc_id and the text, as only rows equal in both are repeats there.
+    """
+    schema = "row long, doc_id long, n long, f1 long, f2 long, sketch binary, keys array<long>"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for found in document_sets(batch.column("text")):
+            for i, found in enumerate(document_sets(batch.column("text"))):
                 sketch = found[:K]
                 keys = list_keys(sketch, len(found) <= K).view(np.int64) if len(found) else np.zeros(0, np.int64)
+                if len(found):
+                    prints = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found + np.uint64(1)))], np.uint64)
+                else:
+                    own = repr((batch.column("doc_id")[i].as_py(), batch.column("text")[i].as_py())).encode()
+                    prints = np.frombuffer(hashlib.blake2b(own, digest_size=16).digest(), np.uint64)
                 values = (
                     len(found),
-                    int(found.sum(dtype=np.uint64).astype(np.int64)),
-                    int(np.bitwise_xor.reduce(mix(found + np.uint64(1))).astype(np.int64)) if len(found) else 0,
+                    *prints.view(np.int64).tolist(),
                     (sketch[:ESTIMATE_K] >> np.uint64(32)).astype("<u4").tobytes(),
                     keys,
                 )
@@ -91,11 +100,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     row.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(r, t) for r, t in zip(rows, types))],
-                names=["doc_id", "n", "f1", "f2", "sketch", "keys"],
+                [batch.column("row"), batch.column("doc_id"), *(pa.array(r, t) for r, t in zip(rows, types))],
+                names=["row", "doc_id", "n", "f1", "f2", "sketch", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(build, schema)
+    return docs.select("row", "doc_id", "text").mapInArrow(build, schema)
 
 
 def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -202,7 +211,7 @@ def exact_edges(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     # Sets are made where the texts lie, for the filter's documents only: neither texts nor other sets are shuffled.
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    texts = docs.select(F.col("row").alias("node"), "text")
     built = texts.mapInArrow(build, "node long, shingles binary").join(members.hint("merge"), "node")
     order = ["component", "bi", "bj"]
     spread = built.select("node", "component", "b", F.explode("places").alias("p"), "shingles").select(
@@ -215,11 +224,9 @@ def exact_edges(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             bounds = [*run_starts(table, order).tolist(), table.num_rows]
             for a, b in zip(bounds[:-1], bounds[1:]):
                 part = table.slice(a, b - a)
-                # A repeated row of a document is the same node.
-                names, rows = np.unique(part["node"].to_numpy(), return_index=True)
-                part = part.take(pa.array(rows))
                 if part.num_rows < 2:
                     continue
+                names = part["node"].to_numpy()
                 left, right = block_pairs(part, np.zeros(1, np.int64))
                 sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
                 good = set_links(sets, left, right, percent)
@@ -229,45 +236,58 @@ def exact_edges(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
+def judged(docs: DataFrame, percent: int) -> DataFrame:
+    """row, doc_id, n, component_id, kept of each row of stored ``docs`` (row, doc_id, text); ``row`` is unique.
 
-    Documents whose sets have 100 * intersection >= ``percent`` * union are linked; ``component_id`` is the smallest
-    doc_id reachable. A null, empty or blank text has an empty set and is linked with nothing; a text of under
-    five words is one shingle. Equal sets are one class, compared once. Rows that share a doc_id and a
-    set are one document's; a null doc_id is compared by its set only, and is kept where it stands alone.
-    Other columns are ignored.
+    Nodes are texts, never ids: the first row of each class of equal sets stands for it. The first row is the one of
+    the smallest doc_id, nulls last, and of these of the smallest ``row``.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prepare(docs.sparkSession)
     found = materialise(sketches(docs), "sketches")
     content = ["n", "f1", "f2"]
-    classes = materialise(found.where("n > 0 and doc_id is not null").groupBy(*content).agg(F.min("doc_id").alias("node")), "classes")
-    chosen = found.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *content])
-    chosen = materialise(chosen.select(F.col("doc_id").alias("node"), "n", "sketch", "keys").dropDuplicates(["node"]), "chosen")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    classes = found.groupBy(*content).agg(first).select(*content, F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"))
+    classes = materialise(classes, "classes")
+    chosen = found.select(F.col("row").alias("node"), "n", "sketch", "keys").join(classes.where("n > 0").select("node"), "node")
+    chosen = materialise(chosen, "chosen")
     candidates = connected_components(candidate_edges(chosen, percent / 100), "candidates")
-    edges = exact_edges(docs, candidates, percent)
-    components = connected_components(edges, "links").withColumnRenamed("component", "component_id")
-    named = classes.join(components, "node", "left").select(
-        *content, F.coalesce("component_id", "node").alias("component_id")
+    components = connected_components(exact_edges(docs, candidates, percent), "links")
+    members = components.join(classes.select(F.col("node").alias("row"), "doc_id"), F.col("node") == F.col("row"))
+    leaders = members.groupBy("component").agg(first).select("component", "first")
+    linked = components.join(leaders, "component").select("node", "first")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("node").alias("row"))
+    named = classes.join(linked, "node", "left").select(*content, F.coalesce("first", own).alias("first"))
+    rows = found.select("row", "doc_id", *content).join(named, content)
+    return rows.select(
+        "row",
+        "doc_id",
+        "n",
+        F.col("first.doc_id").alias("component_id"),
+        ((F.col("row") == F.col("first.row")) | F.expr("n = 0 and doc_id is null")).alias("kept"),
     )
-    rows = found.select("doc_id", *content).join(named, content, "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
+
+    Texts whose sets have 100 * intersection >= ``percent`` * union are linked, whatever their doc_ids;
+    ``component_id`` is the smallest doc_id reachable, null if there is none. One row of a component is kept, one of the
+    smallest doc_id, so a doc_id that stands for several texts has a verdict for each. A null, empty or blank text has an
+    empty set and is linked with nothing but rows of the same doc_id and text; a text of under five words is one
+    shingle. Equal sets are one class, compared once. Other columns are ignored.
+    """
+    docs, row = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "documents")
+    rows = judged(docs.withColumnRenamed(row, "row"), percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` of which one stays for each group of near duplicates, with all their columns.
 
-    Of rows that share a doc_id and a text one stays; rows without a doc_id always stay.
+    Rows are judged one by one as in ``near_duplicates``. Of rows without words one stays for each doc_id and text;
+    those that have no doc_id either all stay.
     """
-    found = near_duplicates(docs, percent)
-    removed = materialise(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "removed")
-    left = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("size")).where("size > 1")
-    repeated = materialise(repeated.select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(once)
+    stored, row = numbered(docs, "documents")
+    found = judged(stored.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
+    removed = materialise(found.where("not kept").select(F.col("row").alias(row)), "removed")
+    return stored.join(removed, row, "left_anti").select(*docs.columns)
