@@ -359,6 +359,20 @@ def test_warc(spark, tmp_path):
     assert written.count(b"WARC/1.1\r\n") == 6 and f"WARC-Refers-To: {text.refers_to}\r\n".encode() in written
 
 
+def test_outlinks_of_all_forms(spark):
+    html = (
+        '<a href="/1">x</a><A HREF="/2"><a class="b c" id=d download href="/3"><a\n\thref = \'/4"\'><a rel=x href=/5/e?f=g>h</a>'
+        '<a title="x href=\'/no\' >" href="/6"><a data-href="/no" href=/7><a title=it\'s href="/8"><a title="i"href="/9">'
+        '<a href=""><abbr href="/no"><a name="j"> href="/no"<a href><link href="/no"><SCRIPT>"<a href="/no">"</SCRIPT>'
+        '<!-- <a href="/no"> --><style><a href=/no></style><a title="<!--" href="/10">--><a href="é&amp;k">'
+    )
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<a " + "k=v " * 20000 + "href=/l>"), (3, "u", None)], "page_id long, url string, html string")
+    found = {r.page_id: r.content for r in warc.derivatives(warc.responses(pages)).where("warc_type = 'metadata'").collect()}
+    links = {k: [x.removeprefix("outlink: ") for x in v.split("\r\n") if x.startswith("outlink: ")] for k, v in found.items()}
+    assert links[1] == ["/1", "/2", "/3", '/4"', *(f"/{k}" if k != 5 else "/5/e?f=g" for k in range(5, 10)), "", "/10", "é&amp;k"]
+    assert (links[2], links[3]) == (["/l"], [])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -16,7 +16,11 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 BLANKS = r"[ \t\r\f]+"
 LINES = r" ?\n[ \n]*"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LINK = r'<a href="([^"]*)"'
+LINK = r'<a href="([^"]*)"'  # the SQL's, which knows this form only
+# An anchor's href in any case, after any attributes, in double, single or no quotes; or a block without text, then group 1 is empty.
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>][^ \t\r\n\f>]*)"""
+ATTRIBUTE = r"[ \t\r\n\f/]*(?!href[ \t\r\n\f=>/])[^ \t\r\n\f>/][^ \t\r\n\f=>/]*(?:[ \t\r\n\f]*=[ \t\r\n\f]*" + VALUE + ")?"
+ANCHOR = r"(?=<)(?:" + HIDDEN + r"|<a(?=[ \t\r\n\f/])(?:" + ATTRIBUTE + r")*+[ \t\r\n\f/]*href[ \t\r\n\f]*=[ \t\r\n\f]*(" + VALUE + "))"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -58,6 +62,12 @@ def plain_text(html: Column) -> Column:
     return F.trim(text, F.lit(" \n"))
 
 
+def outlinks(html: Column) -> Column:
+    """The targets of all anchors in order of appearance, without those in scripts, styles and comments."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), lambda x: x != "")
+    return F.transform(found, lambda x: F.when(F.left(x, F.lit(1)).isin('"', "'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records per response (page_id, record_id, target_uri, headers, payload): metadata, and conversion to text.
 
@@ -72,7 +82,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         "target_uri",
         digest(F.col("payload")).alias("source_digest"),
         F.regexp_replace(F.trim(F.regexp_extract("payload", TITLE, 1), F.lit(" \n")), r"[ \t\r\n\f]+", " ").alias("title"),
-        F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)).alias("links"),
+        outlinks(F.col("payload")).alias("links"),
         "headers",
         plain_text(F.col("payload")).alias("text"),
     )
