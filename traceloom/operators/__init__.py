@@ -5,10 +5,11 @@ from traceloom.operators.chains import ancestor_chains, closure
 from traceloom.operators.histogram import log_histogram
 from traceloom.operators.ordered import ordered_scan
 from traceloom.operators.overlap import overlap_join
-from traceloom.operators.slices import QuantileSlices, WidthSlices, quantile_slices
+from traceloom.operators.slices import QuantileSlices, SliceDirectory, WidthSlices, quantile_slices, slice_directory
 
 __all__ = [
     "QuantileSlices",
+    "SliceDirectory",
     "WidthSlices",
     "ancestor_chains",
     "asof_join",
@@ -17,4 +18,5 @@ __all__ = [
     "ordered_scan",
     "overlap_join",
     "quantile_slices",
+    "slice_directory",
 ]

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.operators.ordered import group_of
-from traceloom.operators.slices import DEFAULT_SLICE_ROWS, NO_KEY, QuantileSlices, WidthSlices, quantile_slices
+from traceloom.operators.slices import (
+    DEFAULT_SLICE_ROWS,
+    QuantileSlices,
+    SliceDirectory,
+    WidthSlices,
+    group_of,
+    quantile_slices,
+)
+from traceloom.operators.tree import carried_over
 
 
 def asof_join(
@@ -23,7 +30,7 @@ def asof_join(
     direction: str = "forward",
     allow_equal: bool = False,
     how: str = "left",
-    slices: QuantileSlices | WidthSlices | None = None,
+    slices: QuantileSlices | SliceDirectory | WidthSlices | None = None,
     rows_per_slice: int = DEFAULT_SLICE_ROWS,
 ) -> DataFrame:
     """Left rows with ``columns`` (new name -> right column) of the matching right row.
@@ -42,10 +49,10 @@ def asof_join(
         raise ValueError(f"unsupported as-of join: direction={direction!r} how={how!r}")
     forward = direction == "forward"
     if slices is None:
-        both = left.select(F.col(left_on).cast("long").alias("k")).unionAll(
-            right.select(F.col(right_on).cast("long").alias("k"))
+        both = left.select(*keys, F.col(left_on).cast("long").alias("_k")).unionAll(
+            right.select(*keys, F.col(right_on).cast("long").alias("_k"))
         )
-        slices = quantile_slices(both, "k", rows_per_slice)
+        slices = quantile_slices(both, "_k", rows_per_slice, keys=keys)
 
     names = list(left.columns)
     payload = F.struct(
@@ -63,19 +70,18 @@ def asof_join(
     )
 
     right_spread = left_spread = F.lit(0)
-    if isinstance(slices, QuantileSlices) and slices.hot:
-        is_hot = F.col("_k").isin(list(slices.hot))
-        lowest = rights.filter(is_hot).groupBy("_group", "_k").agg(
-            F.min_by("_right", F.col("_right._id")).alias("_right")
-        )
-        rights = rights.filter(~is_hot).unionByName(lowest)
+    if not isinstance(slices, WidthSlices):
         # Along the scan an inclusive match needs the right row first, a strict one last.
-        right_spread = slices.last if forward == allow_equal else slices.first
+        right_spread = slices.ends()[forward == allow_equal]
         left_spread = slices.scatter(F.col("_left"))
+    if isinstance(slices, QuantileSlices) and slices.hot:
+        rights = _lowest_of_hot(rights, F.col("_k").isin(list(slices.hot)))
     rights = slices.assign(rights, "_k", "_slice", right_spread)
+    if isinstance(slices, SliceDirectory):
+        rights = _lowest_of_hot(rights, F.col("_slice_hot"))
     lefts = slices.assign(lefts, "_k", "_slice", left_spread)
     # Left rows without a key match nothing; scatter them instead of giving them one slice.
-    lost = F.lit(NO_KEY) + F.pmod(F.xxhash64("_left"), F.lit(1024))
+    lost = slices.lost(F.col("_left"))
     lefts = lefts.withColumn("_slice", F.when(F.col("_k").isNull(), lost).otherwise(F.col("_slice")))
     stream = rights.select("_group", "_slice", "_k", "_right").unionByName(
         lefts.select("_group", "_slice", "_k", "_left"), allowMissingColumns=True
@@ -98,20 +104,20 @@ def asof_join(
         edge = F.min_by("_right", rank) if forward else F.max_by("_right", rank)
         edges = rights.groupBy("_group", "_slice").agg(edge.alias("_edge"))
         asking = lefts.select("_group", "_slice", F.lit(True).alias("_asks")).distinct()
-        onward = (
-            Window.partitionBy("_group").orderBy(step("_slice")).rangeBetween(Window.unboundedPreceding, -1)
-        )
-        carry = (
-            edges.unionByName(asking, allowMissingColumns=True)
-            .withColumn("_carry", F.last("_edge", ignorenulls=True).over(onward))
-            .filter("_asks")
-            .select("_group", "_slice", "_carry")
-        )
+        summary = edges.join(asking, ["_group", "_slice"], "full")
+        carry = carried_over(summary, {"_edge": "next" if forward else "last"})
         matched = matched.join(carry, ["_group", "_slice"])
-        match = F.coalesce(match, F.col("_carry"))
+        match = F.coalesce(match, F.col("_c__edge"))
     matched = matched.select("_left", F.when(F.col("_k").isNotNull(), match).alias("_match"))
     if how == "inner":
         matched = matched.filter(F.col("_match").isNotNull())
     return matched.select(
         *[F.col("_left")[c].alias(c) for c in names], *[F.col("_match")[out].alias(out) for out in columns]
     )
+
+
+def _lowest_of_hot(rights: DataFrame, is_hot: Column) -> DataFrame:
+    """Of right rows with one hot key only the one that can match."""
+    same = [c for c in rights.columns if c != "_right"]
+    lowest = rights.filter(is_hot).groupBy(*same).agg(F.min_by("_right", F.col("_right._id")).alias("_right"))
+    return rights.filter(~is_hot).unionByName(lowest)

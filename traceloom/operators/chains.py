@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.operators.ordered import group_of
+from traceloom.operators.slices import group_of
 from traceloom.session import materialise
 
 

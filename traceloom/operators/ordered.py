@@ -1,7 +1,7 @@
 """Running sums, row numbers, lag and lead over a global order, without a global sort.
 
-One shuffle puts each slice of the order in one task. Every slice also contributes one summary row;
-running totals and boundary rows over those summaries are joined back by slice.
+One shuffle puts each slice of the order in one task. Every slice also contributes one summary row; running totals
+and boundary rows over those summaries come from a tree (:mod:`traceloom.operators.tree`) and are joined back by slice.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.operators.slices import DEFAULT_SLICE_ROWS, QuantileSlices, WidthSlices, quantile_slices
-
-
-def group_of(keys: Sequence[str]) -> Column:
-    """Partition keys as one struct, so that a NULL key forms a group of its own in joins too."""
-    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+from traceloom.operators.slices import (
+    DEFAULT_SLICE_ROWS,
+    QuantileSlices,
+    SliceDirectory,
+    WidthSlices,
+    group_of,
+    quantile_slices,
+)
+from traceloom.operators.tree import carried_over
 
 
 def _column(source: str | Column) -> Column:
@@ -36,7 +39,7 @@ def ordered_scan(
     next_known: Mapping[str, str | Column] | None = None,
     lows: Mapping[str, str] | None = None,
     row_number: str | None = None,
-    slices: WidthSlices | QuantileSlices | None = None,
+    slices: WidthSlices | QuantileSlices | SliceDirectory | None = None,
 ) -> DataFrame:
     """Add running columns along ``order`` within each combination of ``keys``.
 
@@ -51,8 +54,8 @@ def ordered_scan(
     next_known = {out: _column(src) for out, src in dict(next_known or {}).items()}
     tie_slices = None
     if slices is None:
-        slices = WidthSlices() if tie is None else quantile_slices(df, order)
-    spread = F.lit(0)
+        slices = WidthSlices() if tie is None else quantile_slices(df, order, keys=keys, tie=tie)
+    spread = F.col(tie).cast("long") if isinstance(slices, SliceDirectory) and tie else F.lit(0)
     if tie is not None and isinstance(slices, QuantileSlices) and slices.hot:
         tied = df.filter(F.col(order).isin(list(slices.hot)))
         tie_slices = quantile_slices(tied, tie, DEFAULT_SLICE_ROWS, slices.parts)
@@ -65,65 +68,45 @@ def ordered_scan(
     place = [F.col(order)] + ([F.col(tie)] if tie else [])
     along = Window.partitionBy("_group", "_slice").orderBy(*place)
     running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slice_order = Window.partitionBy("_group").orderBy("_slice")
-    before = slice_order.rowsBetween(Window.unboundedPreceding, -1)
 
     local: dict[str, Column] = {}
-    totals: list[Column] = []
-    carried: list[Column] = []
+    totals: dict[str, Column] = {}  # per slice
+    kinds: dict[str, str] = {}  # how a total is carried over to other slices
     final: dict[str, Column] = {}
-    none = F.lit(None)
-    alone: dict[str, Column] = {"_cn": F.lit(0)}
-    alone |= {f"_c_{out}": none for out in sums} | {f"_lc_{out}": none for out in lags}
-    alone |= {f"_fc_{out}": none for out in leads} | {f"_pc_{out}": none for out in last_known}
-    alone |= {f"_qc_{out}": none for out in next_known}
     for out, src in sums.items():
         local[f"_s_{out}"] = F.sum(src).over(running)
-        totals.append(F.sum(src).alias(f"_t_{out}"))
-        carried.append(F.sum(f"_t_{out}").over(before).alias(f"_c_{out}"))
-        here, earlier = F.col(f"_s_{out}"), F.col(f"_c_{out}")
+        totals[f"s_{out}"], kinds[f"s_{out}"] = F.sum(src), "sum"
+        here, earlier = F.col(f"_s_{out}"), F.col(f"_c_s_{out}")
         final[out] = F.coalesce(here + earlier, here, earlier)
     for out, src in dict(lows or {}).items():
-        totals.append(F.min(src).alias(f"_m_{out}"))
-        carried.append(F.min(f"_m_{out}").over(Window.partitionBy("_group")).alias(f"_mc_{out}"))
-        final[out] = F.col(f"_mc_{out}")
+        totals[f"m_{out}"], kinds[f"m_{out}"] = F.min(src), "low"
+        final[out] = F.col(f"_c_m_{out}")
     if row_number:
         local["_n"] = F.row_number().over(along)
-        totals.append(F.count(F.lit(1)).alias("_tn"))
-        carried.append(F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_cn"))
-        final[row_number] = (F.col("_n") + F.col("_cn")).cast("long")
+        totals["n"], kinds["n"] = F.count(F.lit(1)), "sum"
+        final[row_number] = (F.col("_n") + F.coalesce("_c_n", F.lit(0))).cast("long")
     # A plain column keeps the summary a hash aggregate; a struct would make Spark sort for it.
     at = F.struct(*place) if tie else place[0]
-    if lags:
-        row = F.struct(*[F.col(src).alias(out) for out, src in lags.items()])
-        local["_lag"] = F.lag(row).over(along)
-    if leads:
-        row = F.struct(*[F.col(src).alias(out) for out, src in leads.items()])
-        local["_lead"] = F.lead(row).over(along)
-    for out, src in lags.items():
-        totals.append(F.max_by(src, at).alias(f"_l_{out}"))
-        carried.append(F.lag(f"_l_{out}").over(slice_order).alias(f"_lc_{out}"))
-        final[out] = F.when(F.col("_lag").isNull(), F.col(f"_lc_{out}")).otherwise(F.col("_lag")[out])
-    for out, src in leads.items():
-        totals.append(F.min_by(src, at).alias(f"_f_{out}"))
-        carried.append(F.lead(f"_f_{out}").over(slice_order).alias(f"_fc_{out}"))
-        final[out] = F.when(F.col("_lead").isNull(), F.col(f"_fc_{out}")).otherwise(F.col("_lead")[out])
+    for name, wanted, nearest, kind in (("lag", lags, F.max_by, "last"), ("lead", leads, F.min_by, "next")):
+        if not wanted:
+            continue
+        # One struct of all values, so that a NULL in a row is told from no row.
+        row = F.struct(*[F.col(src).alias(out) for out, src in wanted.items()])
+        local[f"_{name}"] = (F.lag if name == "lag" else F.lead)(row).over(along)
+        totals[name], kinds[name] = nearest(row, at), kind
+        for out in wanted:
+            final[out] = F.coalesce(f"_{name}", f"_c_{name}")[out]
     for out, src in last_known.items():
         local[f"_p_{out}"] = F.last(src, ignorenulls=True).over(running)
-        totals.append(F.max_by(src, F.when(src.isNotNull(), at)).alias(f"_pt_{out}"))
-        carried.append(F.last(f"_pt_{out}", ignorenulls=True).over(before).alias(f"_pc_{out}"))
-        final[out] = F.coalesce(F.col(f"_p_{out}"), F.col(f"_pc_{out}"))
+        totals[f"p_{out}"], kinds[f"p_{out}"] = F.max_by(src, F.when(src.isNotNull(), at)), "last"
+        final[out] = F.coalesce(F.col(f"_p_{out}"), F.col(f"_c_p_{out}"))
     # Looking ahead is looking back along the reversed order; a frame up to the last row would be quadratic.
-    reverse = [c.desc() for c in place]
-    ahead = Window.partitionBy("_group", "_slice").orderBy(*reverse)
+    ahead = Window.partitionBy("_group", "_slice").orderBy(*[c.desc() for c in place])
     ahead = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("_group").orderBy(F.col("_slice").desc())
-    after = after.rowsBetween(Window.unboundedPreceding, -1)
     for out, src in next_known.items():
         local[f"_q_{out}"] = F.last(src, ignorenulls=True).over(ahead)
-        totals.append(F.min_by(src, F.when(src.isNotNull(), at)).alias(f"_qt_{out}"))
-        carried.append(F.last(f"_qt_{out}", ignorenulls=True).over(after).alias(f"_qc_{out}"))
-        final[out] = F.coalesce(F.col(f"_q_{out}"), F.col(f"_qc_{out}"))
+        totals[f"q_{out}"], kinds[f"q_{out}"] = F.min_by(src, F.when(src.isNotNull(), at)), "next"
+        final[out] = F.coalesce(F.col(f"_q_{out}"), F.col(f"_c_q_{out}"))
 
     columns = [c for c in df.columns if c not in ("_group", "_slice")]
     spread_out = df
@@ -132,11 +115,11 @@ def ordered_scan(
     scanned = spread_out.withColumns(local)
     if slices.single:
         # Each group is one slice: nothing to hand on.
-        for out, src in dict(lows or {}).items():
-            alone[f"_mc_{out}"] = F.min(src).over(Window.partitionBy("_group", "_slice"))
-        scanned = scanned.withColumns(alone)
+        lowest = {f"_c_m_{out}": F.min(src).over(Window.partitionBy("_group", "_slice")) for out, src in dict(lows or {}).items()}
+        scanned = scanned.withColumns({f"_c_{name}": F.lit(None) for name, kind in kinds.items() if kind != "low"} | lowest)
+        scanned = scanned.withColumns({f"_c_{n}": F.lit(None).cast(scanned.schema[f"_{n}"].dataType) for n in ("lag", "lead") if n in kinds})
     else:
-        summary = df.groupBy("_group", "_slice").agg(*totals).select("_group", "_slice", *carried)
-        scanned = scanned.join(summary, ["_group", "_slice"])
+        summary = df.groupBy("_group", "_slice").agg(*[c.alias(name) for name, c in totals.items()])
+        scanned = scanned.join(carried_over(summary, kinds), ["_group", "_slice"])
     kept = [F.col(c) for c in columns if c not in final]
     return scanned.select(*kept, *[c.alias(out) for out, c in final.items()])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.operators.ordered import group_of
+from traceloom.operators.slices import group_of
 
 LEVEL_STEP = 2
 
