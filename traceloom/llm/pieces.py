@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import prepare
 
 SPACE = "▁"
+MARKS = "\n\t,.;:!?"
 #: Distinct units and pairs of tokens that a Python worker remembers; at this number it starts anew. A bound of memory only.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 250_000
 KEPT_PAIRS = 500_000
 #: Units longer than this are encoded each time: remembering them would take memory without being of use again.
 KEPT_LENGTH = 64
@@ -50,15 +53,22 @@ class PieceCodec:
                 self.surface[i] = model.decode([i]).encode()
         self.decimal = [str(i) for i in range(len(model))]
         self.edges: dict[str, tuple[tuple, tuple] | None] = {}
+        #: For each piece, whether it is compatible with each token met before it.
+        self.fits: dict[str, dict[str, bool]] = {piece: {} for piece in self.ids}
+        self.pairs = 0
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, (piece, len(piece)))
+            self.automaton.add_word(piece, (piece, len(piece), self.fits[piece]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        # No piece has a space inside, so no merge crosses from another character to a space: units are encoded apart.
-        inside = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.unit = re.compile("(?s).+" if inside else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        # No piece has a space after another character, so no merge crosses there: units are encoded apart. Marks that no
+        # piece has beside a letter are units of their own together with other marks.
+        sides = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        apart = not any(b == SPACE and a != SPACE for a, b in sides)
+        marks = "".join(c for c in MARKS if not any(c in pair and not set(pair) <= set(MARKS) for pair in sides))
+        marks = re.escape(marks)
+        cut = rf"{SPACE}*[^{SPACE}{marks}]+|{SPACE}+|[{marks}]+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        self.unit = re.compile(cut if apart else "(?s).+")
+        self.known: dict[str, bytes] = {}
         probes = ["a  b\n\tc ", " x ", f"{SPACE}a {SPACE}", "é ﬁ ½ 文字", "a\x00b<s></s><unk>", "hello hello  world's", "Ａ"]
         for text in probes:
             ids = model.encode(text, add_bos=False, add_eos=False)
@@ -108,20 +118,22 @@ class PieceCodec:
     def _pieces(self, text: str) -> list[str]:
         """The encoding of a text in pieces; a character without a piece stands for itself and merges with nothing."""
         last: list[str] = [""] * (len(text) + 1)
-        pairs = self.pairs
-        if len(pairs) > KEPT_PAIRS:
-            pairs.clear()
+        if self.pairs > KEPT_PAIRS:
+            self.pairs = 0
+            for known in self.fits.values():
+                known.clear()
         filled = 0
-        for end, (piece, size) in self.automaton.iter(text):
+        for end, (piece, size, known) in self.automaton.iter(text):
             if filled > end:
                 continue
             while filled < end:  # characters that end no piece
                 filled += 1
                 last[filled] = text[filled - 1]
-            pair = (last[end + 1 - size], piece)
-            fits = pairs.get(pair)
+            before = last[end + 1 - size]
+            fits = known.get(before)
             if fits is None:
-                fits = pairs[pair] = self._compatible(*pair)
+                fits = known[before] = self._compatible(before, piece)
+                self.pairs += 1
             if fits:
                 filled = end + 1
                 last[filled] = piece
@@ -135,8 +147,8 @@ class PieceCodec:
             at -= len(last[at])
         return out[::-1]
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        ids: list[int] = []
+    def _unit(self, unit: str) -> bytes:
+        ids = array("I")
         for piece in self._pieces(unit):
             if piece in self.ids:
                 ids.append(self.ids[piece])
@@ -144,13 +156,17 @@ class PieceCodec:
                 ids.extend(self.bytes[b] for b in piece.encode())
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
+        return ids.tobytes()
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        return memoryview(self.encoded(text)).cast("I").tolist()
+
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit integers."""
         if not text:
-            return out
+            return b""
         known = self.known
+        out = []
         for unit in self.unit.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(unit)
             if ids is None:
@@ -159,8 +175,8 @@ class PieceCodec:
                     if len(known) >= KEPT_UNITS:
                         known.clear()
                     known[unit] = ids
-            out.extend(ids)
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that are no UTF-8 come out as U+FFFD each, as in the library."""
@@ -240,8 +256,11 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            parts = [own.encoded(t.as_py() or "") for t in batch.column("text")]
+            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
+            ids = pa.array(np.frombuffer(b"".join(parts), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>")
 
