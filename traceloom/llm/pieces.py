@@ -22,8 +22,9 @@ from traceloom.llm.common import prepare
 
 SPACE = "▁"
 MARKS = "\n\t,.;:!?"
-#: Distinct units and pairs of tokens that a Python worker remembers; at this number it starts anew. A bound of memory only.
-KEPT_UNITS = 250_000
+#: Distinct units and pairs of tokens that a Python worker remembers: those met since it last held that many, and of units
+#: also those of the time before. A bound of memory only.
+KEPT_UNITS = 200_000
 KEPT_PAIRS = 500_000
 #: Units longer than this are encoded each time: remembering them would take memory without being of use again.
 KEPT_LENGTH = 64
@@ -69,6 +70,7 @@ class PieceCodec:
         cut = rf"{SPACE}*[^{SPACE}{marks}]+|{SPACE}+|[{marks}]+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.unit = re.compile(cut if apart else "(?s).+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         probes = ["a  b\n\tc ", " x ", f"{SPACE}a {SPACE}", "é ﬁ ½ 文字", "a\x00b<s></s><unk>", "hello hello  world's", "Ａ"]
         for text in probes:
             ids = model.encode(text, add_bos=False, add_eos=False)
@@ -170,10 +172,13 @@ class PieceCodec:
         for unit in self.unit.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(unit)
             if ids is None:
-                ids = self._unit(unit)
+                ids = self.older.get(unit)
+                if ids is None:
+                    ids = self._unit(unit)
                 if len(unit) <= KEPT_LENGTH:
                     if len(known) >= KEPT_UNITS:
-                        known.clear()
+                        self.older = known
+                        self.known = known = {}
                     known[unit] = ids
             out.append(ids)
         return b"".join(out)
