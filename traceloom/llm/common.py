@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 BLOCK = 256
 #: Bits of a filter of ids that every task gets: 4 MB.
 FILTER_BITS = 1 << 25
+LONG_WORD = 64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -45,6 +47,11 @@ def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), label), name
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by names that may hold dots or backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in columns]
+
+
 def crc32_of_id(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
@@ -96,7 +103,9 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a slice of texts as arrays: byte ranges, hashes, and each text's range of words.
 
-    A word is a longest run of bytes that are not separators. Hashes are of the word's bytes, 64 bits wide.
+    A word is a longest run of bytes that are not separators. Hashes are of the word's bytes, 64 bits wide: sums along the
+    text for words of under LONG_WORD bytes; such sums are no hash of longer ones, of which some always collide, so
+    these are hashed one by one.
     """
 
     def __init__(self, texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = True):
@@ -122,7 +131,11 @@ class Words:
 
     def hash(self, ends: np.ndarray) -> np.ndarray:
         """Hashes of the words if they ended at ``ends``."""
-        return mix((self.sums[ends] - self.sums[self.starts]) * self.down[self.starts])
+        found = mix((self.sums[ends] - self.sums[self.starts]) * self.down[self.starts])
+        for i in np.flatnonzero(ends - self.starts >= LONG_WORD).tolist():
+            word = self.bytes[self.starts[i] : ends[i]].tobytes()
+            found[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
     def text_of(self, i: int) -> str:
         return self.bytes[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import BASE, NOT_ALNUM, Words, mix, numbered, prepare, shingle_hashes, slices
+from traceloom.llm.common import BASE, NOT_ALNUM, Words, mix, numbered, prepare, quoted, shingle_hashes, slices
 from traceloom.session import materialise
 
 BITS = 128
@@ -178,9 +178,6 @@ class Items:
     def _region(self, low, high, places, shingles, total, threshold, best) -> None:
         local, mine = places[low:high], shingles[low:high]
         weight = np.where(local >= 0, self.weights[local], self.other)
-        sums = np.zeros((high - low + 1, BITS), np.float64)
-        root = np.where(local >= 0, self.roots[local], self.other_root)
-        np.cumsum(signs(mine) * root[:, None], axis=0, out=sums[1:])
         # A window can only reach the threshold if the shingles that items of this part hold make up that share of its weight.
         # Where a shingle repeats, sums are no bound of a set's weight: then one such shingle is enough.
         held = np.append(0, np.cumsum(np.where((local >= 0) & self.own[local], weight, 0)))
@@ -200,9 +197,18 @@ class Items:
         if not windows:
             return
         starts, spans, lengths = np.concatenate(windows).T
+        # Sums of signs over the places that these windows cover, side by side.
+        covered = np.zeros(high - low + 1, np.int64)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, starts + spans, -1)
+        covered = np.flatnonzero(np.cumsum(covered) > 0)
+        place = np.searchsorted(covered, np.arange(high - low + 1))
+        root = np.where(local[covered] >= 0, self.roots[local[covered]], self.other_root)
+        sums = np.zeros((len(covered) + 1, BITS), np.float64)
+        np.cumsum(signs(mine[covered]) * root[:, None], axis=0, out=sums[1:])
         for at in range(0, len(starts), 4096):
             a, b = starts[at : at + 4096], spans[at : at + 4096]
-            row, item = self.near(fingerprints(sums[a + b] - sums[a]))
+            row, item = self.near(fingerprints(sums[place[a + b]] - sums[place[a]]))
             for r, i in zip(row.tolist(), item.tolist()):
                 begin, end = int(a[r]), int(a[r] + b[r])
                 similarity = self.similarity(local[begin:end], mine[begin:end], i)
@@ -267,4 +273,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
     stored, row = numbered(docs, "documents")
     texts = stored.select(F.col(row).alias("doc_id"), "text")
     found = contamination(texts, benchmark, threshold).select(F.col("doc_id").alias(row)).distinct()
-    return stored.join(materialise(found, "contaminated"), row, "left_anti").select(*docs.columns)
+    return stored.join(materialise(found, "contaminated"), row, "left_anti").select(*quoted(docs.columns))

@@ -29,6 +29,7 @@ from traceloom.llm.common import (
     mix,
     numbered,
     prepare,
+    quoted,
     run_starts,
     runs,
     shingle_hashes,
@@ -290,4 +291,4 @@ def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
     stored, row = numbered(docs, "documents")
     found = judged(stored.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
     removed = materialise(found.where("not kept").select(F.col("row").alias(row)), "removed")
-    return stored.join(removed, row, "left_anti").select(*docs.columns)
+    return stored.join(removed, row, "left_anti").select(*quoted(docs.columns))

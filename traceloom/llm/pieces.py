@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import prepare
 
 SPACE = "▁"
-MARKS = "\n\t,.;:!?"
+LETTER = "[A-Za-z\u00c0-\u024f]"
+ENDS = "\n\t"
+MARKS = ",.;:!?)]}'\"*-|&%$#@/_"
 #: Distinct units and pairs of tokens that a Python worker remembers: those met since it last held that many, and of units
 #: also those of the time before. A bound of memory only.
 KEPT_UNITS = 200_000
@@ -61,14 +63,14 @@ class PieceCodec:
         for piece in self.ids:
             self.automaton.add_word(piece, (piece, len(piece), self.fits[piece]))
         self.automaton.make_automaton()
-        # No piece has a space after another character, so no merge crosses there: units are encoded apart. Marks that no
-        # piece has beside a letter are units of their own together with other marks.
+        # No merge crosses two characters that no piece has side by side, so texts are encoded in units that end there: before
+        # spaces, around line ends, and between a letter and a mark after it.
         sides = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         apart = not any(b == SPACE and a != SPACE for a, b in sides)
-        marks = "".join(c for c in MARKS if not any(c in pair and not set(pair) <= set(MARKS) for pair in sides))
-        marks = re.escape(marks)
-        cut = rf"{SPACE}*[^{SPACE}{marks}]+|{SPACE}+|[{marks}]+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        self.unit = re.compile(cut if apart else "(?s).+")
+        alone = re.escape("".join(c for c in ENDS if not any(c in pair for pair in sides)))
+        after = re.escape("".join(c for c in MARKS if not any(b == c and re.match(LETTER, a) for a, b in sides)))
+        close = f"{SPACE}*+{LETTER}++(?=[{SPACE}{alone}{after}]|$)"
+        self.unit = re.compile(f"{close}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]+" if apart and alone else "(?s).+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         probes = ["a  b\n\tc ", " x ", f"{SPACE}a {SPACE}", "é ﬁ ½ 文字", "a\x00b<s></s><unk>", "hello hello  world's", "Ａ"]

@@ -227,9 +227,13 @@ def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFr
     prepare(docs.sparkSession)
     model = fit_labels(document_statistics(docs), labels)
 
+    # Plain names on the way through Arrow, whose results are resolved by name: given ones may hold dots.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = model_scores(model, statistics(batch.column("text")))
+            values = model_scores(model, statistics(batch.column(text)))
             yield batch.filter(pa.array(values >= cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
