@@ -5,6 +5,7 @@ The same derivation is written as SQL in :mod:`checks.fixture_sql`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from traceloom.plans.lookups import look_up
 from traceloom.session import materialise
+from traceloom.sources.packets import DECODERS
 from traceloom.sources.schemas import conform, with_unknown
 
 KERNEL_DSO = 26
@@ -360,5 +362,47 @@ class Fixture:
         )
         return self.ev.select(F.to_json(record).alias("line"))
 
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables of the trace."""
+        names = (
+            "selected_events machines threads comms comm_threads dsos symbols branch_types samples call_paths calls "
+            "context_switches auxtrace_errors"
+        )
+        decoded = {kind: decode(self.packets) for kind, decode in DECODERS.items()}
+        return {name: getattr(self, name) for name in names.split()} | decoded
+
+    def line_files(self, folder: str) -> str:
+        """The log lines as text files, one per quarter of the conversations; two start with a record."""
+        conv, line = F.col("conv_id"), F.concat_ws(" ", "conv_id", "line_no", F.regexp_replace("line", "\n", " "))
+        line = F.when((conv < 2) & (F.col("line_no") == 0), '{"time":"t","level":"INFO","msg":"m"}').otherwise(line)
+        rows = self.log_lines.select("conv_id", "line_no", (conv % 4).alias("quarter"), line.alias("line"))
+        rows = rows.repartition(4, "quarter").sortWithinPartitions("quarter", "conv_id", "line_no")
+        rows.select("quarter", "line").write.partitionBy("quarter").text(folder)
+        return folder
+
     def sample_names(self) -> DataFrame:
         return look_up(self.samples, "branch_type", self.branch_types, {"branch_type_name": "name"})
+
+
+class SecondFixture(Fixture):
+    """A shorter, later trace over the same tables: a quarter of the events, with the ids they have in the first."""
+
+    @cached_property
+    def ev(self) -> DataFrame:
+        first = Fixture(self.spark, self.sf_dir).ev
+        return first.filter(F.col("id") % 4 == 1).withColumn("time", F.col("time") + 7 * DAY)
+
+
+class Trials:
+    """Both traces in one set of tables, told apart by ``trial``."""
+
+    NAMES = ("async", "sync")
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.traces = dict(zip(self.NAMES, (Fixture(spark, sf_dir), SecondFixture(spark, sf_dir))))
+
+    def of(self, table: Callable[[Fixture], DataFrame]) -> DataFrame:
+        """A table of each trace as one."""
+        parts = [table(f).withColumn("trial", F.lit(name)) for name, f in self.traces.items()]
+        return parts[0].unionByName(parts[1])

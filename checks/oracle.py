@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from checks.fixture import LONG_LIMIT, WINDOW
-from checks.fixture_sql import with_ctes
+from checks.fixture_sql import per_trial, with_ctes
+from traceloom.sources.schemas import TABLE_DDL
 
 BODIES: dict[str, str] = {}
 
@@ -46,6 +47,33 @@ union all select 'symbols', count(*), cast(sum(id) as bigint) from symbols
 union all select 'cbr', count(*), cast(sum(id) as bigint) from cbr
 union all select 'ptwrite', 0, 0
 """
+def columns_of(table: str) -> list[str]:
+    return [column.split()[0] for column in TABLE_DDL[table].split(", ")]
+
+
+_TEXT = "coalesce(cast({} as varchar), '~')"
+
+
+def _contents(table: str, count: str = "count(*)") -> str:
+    """Number of rows and the sum of a digest of each, over all columns in their declared order."""
+    row = " || '|' || ".join(_TEXT.format(f) for f in columns_of(table))
+    digest = f"('0x' || substr(md5({row}), 1, 8))::bigint"
+    return f"select '{table}' as table_name, {count} as row_count, cast(sum({digest}) as bigint) as content from {table}"
+
+
+BODIES["published_tables"] = " union all ".join(_contents(table) for table in TABLE_DDL)
+BODIES["published_branches_layout"] = _contents("samples").replace("from samples", """
+from (select * replace (null as period, null as weight, null as transaction_, null as data_src) from samples)""")
+BODIES["publish_replace_recover"] = """
+select 'first' as step, (select count(*) from threads) as row_count, 'ok' as outcome
+union all select 'again', (select count(*) from threads), 'refused'
+union all select 'broken', (select count(*) from threads), 'failed'
+union all select 'replaced', (select count(*) from threads where id % 2 = 0), 'ok'
+"""
+BODIES["ipc_spans_ordered"] = f"""
+select row_number() over (order by window_end_cum_cyc) - 1 as place, window_end_cum_cyc, window_start_cum_cyc,
+  interior_insns, span_width_cyc from spans
+"""
 BODIES["samples_branches"] = "select * exclude (period, weight, transaction_, data_src) from samples"
 BODIES["dim_sentinel"] = "select * from threads"
 for _kind in ("ptwrite", "mwait", "pwre", "exstop", "pwrx", "cbr"):
@@ -332,6 +360,15 @@ from (select *, coalesce(json_valid(first) and list_has_all(json_keys(case when
 """
 BODIES["log_normalize"] = _NORMAL
 BODIES["log_normalize_stream"] = _NORMAL
+BODIES["log_normalize_files"] = r"""
+select quarter, line_no, quarter < 2 as passes, case when quarter < 2 then line else json_object('time',
+  cast(line_no as varchar), 'level', 'INFO', 'msg', 'command output', 'command_index', 0, 'output_stream_name', 'stdout',
+  'line', regexp_replace(line, '[\r\n]+$', ''))::varchar end as output from file_lines
+"""
+BODIES["command_output_ordered"] = """
+select row_number() over (order by cast(time as bigint), line) - 1 as place, time, line
+from records where msg = 'command output' and command_index = 0 and output_stream_name = 'stdout'
+"""
 BODIES["log_attrs"] = """
 select conv_id, line_no, 'supervisor' as app, output_stream_name as server_driver,
   conv_id % 50 as server_sleep_duration_millis, 'go' as client_driver, line_no as client_num_clients,
@@ -345,16 +382,24 @@ BODIES["command_output"] = """
 select time, line from records where msg = 'command output' and command_index = 0 and output_stream_name = 'stdout'
 """
 
-BODIES["ipc_buckets"] = f"""
-select bucket, bucket * {WINDOW} as start_cyc, cast(sum(cyc) as bigint) as cycles, round(sum(insns), 6) as insns,
-  round(sum(insns) / sum(cyc), 6) as ipc
-from (select bucket, cyc, cast(insn_count * cyc as double) / cyc_count as insns
-  from (select *, least(e, (bucket + 2) * {WINDOW}) - greatest(s, bucket * {WINDOW}) as cyc
-    from (select end_cum_cyc - cyc_count as s, end_cum_cyc as e, insn_count, cyc_count from ranges where cyc_count > 0),
-      unnest(range(greatest(0, cast(floor((s - 2.0 * {WINDOW}) / {WINDOW}) as bigint) + 1), (e - 1) // {WINDOW} + 1))
-        as t(bucket)))
-group by bucket
-"""
+_BUCKETS = f"""
+with shared_out as (select bucket, bucket * {WINDOW} as start_cyc, cast(sum(cyc) as bigint) as cycles, round(sum(insns), 6) as insns,
+    round(sum(insns) / sum(cyc), 6) as ipc
+  from (select bucket, cyc, cast(insn_count * cyc as double) / cyc_count as insns
+    from (select *, least(e, (bucket + 2) * {WINDOW}) - greatest(s, bucket * {WINDOW}) as cyc
+      from (select end_cum_cyc - cyc_count as s, end_cum_cyc as e, insn_count, cyc_count from ranges where cyc_count > 0),
+        unnest(range(greatest(0, cast(floor((s - 2.0 * {WINDOW}) / {WINDOW}) as bigint) + 1), (e - 1) // {WINDOW} + 1))
+          as t(bucket)))
+  group by bucket),
+clocked as (select end_cum_cyc - cyc_count as s, cyc_count, start_time, end_time, end_time - start_time as lasts from ranges
+  where cyc_count > 0)
+select b.*, x.start_time + cast(round(x.lasts * (cast(b.start_cyc - x.s as double) / x.cyc_count)) as bigint) as start_ns,
+  case when b.start_cyc + 2 * {WINDOW} >= (select max(end_cum_cyc) from ranges) then (select max(end_time) from ranges)
+    else y.start_time + cast(round(y.lasts * (cast(b.start_cyc + 2 * {WINDOW} - y.s as double) / y.cyc_count)) as bigint)
+    end as end_ns
+from shared_out as b asof join clocked as x on x.s <= b.start_cyc asof join clocked as y on y.s <= b.start_cyc + 2 * {WINDOW}
+"""
+BODIES["ipc_buckets"] = _BUCKETS
 BODIES["event_aligned_ipc"] = """
 select offset_bucket, round(sum(insn_count * share), 2) as insns, round(sum(cyc_count * share), 2) as cycles,
   round(sum(insn_count * share) / sum(cyc_count * share), 2) as ipc
@@ -406,16 +451,33 @@ select path, cast(sum(self_time) as bigint) as self_time, count(*) as calls from
 """
 
 
+#: Queries over two trials at once; their SQL is that of one trace, on each trial (and CPU) alone.
+TRIALS = {
+    "trials_ranges": (f"select {RANGE_COLUMNS}, branch_type_name from ranges", True),
+    "trials_clocks": ("""
+select min(ns) as start_ns, min(cyc) as start_cyc, max(ns) as end_ns, max(cyc) as end_cyc,
+  cast(max(ns) - min(ns) as double) / (max(cyc) - min(cyc)) as rate from bounds""", True),
+    "trials_view_ipc": ("""
+select end_sample_id, cast(insn_count as double) / nullif(cyc_count, 0) as ipc,
+  start_ns + (end_cum_cyc - start_cyc) * rate as end_ns, cyc_count * rate as duration_ns from ranges, clock
+where end_cum_cyc between (select min(cyc) from bounds) and (select max(cyc) from bounds)""", True),
+    "trials_ipc_spans": (BODIES["ipc_spans"], True),
+    "trials_ipc_buckets": (_BUCKETS, True),
+    "trials_range_cdf": (BODIES["range_cdf"], False),
+    "trials_insn_class_share": (BODIES["insn_class_share"], False),
+    "trials_error_gaps": (BODIES["error_gaps"], False),
+    "trials_full_syscalls": (BODIES["full_syscalls"], False),
+    "trials_on_cpu_syscalls": (BODIES["on_cpu_syscalls"], False),
+    "trials_ancestor_walk": (BODIES["ancestor_walk"], False),
+    "trials_folded_stacks": ("""
+select path, cast(sum(self_time) as bigint) as self_time, count(*) as calls from (
+  select c.id, c.return_time - c.call_time - coalesce(sum(k.return_time - k.call_time), 0) as self_time
+  from calls as c left join calls as k on k.parent_id = c.id where c.id <> 0 group by c.id, c.return_time, c.call_time)
+join (select group_id as id, string_agg(symbol, ';' order by depth desc) as path from closure_names where id <> 0
+  group by group_id) using (id) group by path""", False),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {}
-    for name, body in BODIES.items():
-        # A body that starts with its own expressions continues the list of shared ones.
-        head, tail = ("", body.strip())
-        if tail.startswith("with "):
-            head, tail = tail, None
-        if tail is not None:
-            found[name] = with_ctes(tail)
-        else:
-            shared = with_ctes("select 1 /* " + head + " */").split("\nselect 1 /*")[0]
-            found[name] = f"{shared},\n{head[len('with '):]}"
-    return found
+    found = {name: per_trial(body, cpus) for name, (body, cpus) in TRIALS.items()}
+    return found | {name: with_ctes(body) for name, body in BODIES.items()}

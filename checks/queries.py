@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixture import DAY, LONG_LIMIT, SLICE_ROWS, WINDOW, Fixture
-from traceloom.operators import WidthSlices, ancestor_chains, asof_join, closure, ordered_scan, overlap_join
+from checks.fixture import DAY, LONG_LIMIT, SLICE_ROWS, WINDOW, Fixture, Trials
+from traceloom.functions.columns import ratio
+from traceloom.operators import WidthSlices, ancestor_pairs, asof_join, ordered_scan, overlap_join, slice_directory
 from traceloom.plans import distribution, gaps, ipc, loglines, lookups, overlays, ranges, timeline, trials
 from traceloom.session import materialise, shared_folder
-from traceloom.sources import packets, schemas, tables
+from traceloom.sources import packets, published, schemas, tables
+from traceloom.sources.ordered_files import read_ordered, write_ordered
 from traceloom.streaming.normalise import normalise_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,19 +58,17 @@ def call_stacks(f: Fixture) -> DataFrame:
 
 
 def stored_syscalls(f: Fixture, v: ranges.View) -> DataFrame:
-    """System calls in view, from the stacks near it."""
-    near = timeline.calls_near(f.calls, v)
-    return materialise(
-        timeline.full_syscalls(timeline.stacks(near, f.call_paths, f.symbols, f.dsos), v), "syscalls"
-    )
+    """System calls in view."""
+    return materialise(timeline.syscalls_of(timeline.marked_frames(named_calls(f), v)), "syscalls")
+
+
+def named_calls(f: Fixture) -> DataFrame:
+    return timeline.calls_with_symbols(f.calls, f.call_paths, f.symbols, f.dsos)
 
 
 def whole_syscalls(f: Fixture) -> DataFrame:
     """System calls of the whole trace; four frames decide, so the stacks need not be complete."""
-    named = timeline.calls_with_symbols(f.calls, f.call_paths, f.symbols, f.dsos)
-    frames = materialise(named.select("id", "parent_id", *timeline.FRAME), "frames")
-    short = ancestor_chains(frames, columns=timeline.FRAME, max_depth=timeline.ENTRY_DEPTH)
-    return timeline.full_syscalls(short, None)
+    return timeline.syscalls_of(timeline.marked_frames(named_calls(f), None))
 
 
 def kernel_switches(f: Fixture) -> DataFrame:
@@ -98,6 +99,56 @@ def _(f: Fixture) -> DataFrame:
     return counts
 
 
+def new_folder(f: Fixture, name: str) -> str:
+    return f"{shared_folder(f.spark).rstrip('/')}/traceloom/{name}-{uuid.uuid4().hex}"
+
+
+def contents(df: DataFrame, table: str, count: Column | None = None) -> DataFrame:
+    """Number of rows and the sum of a digest of each, over all columns in their declared order."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c.name).cast("string"), F.lit("~")) for c in schemas.schema_of(table)])
+    digest = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
+    return df.agg(
+        F.lit(table).alias("table_name"), F.count(F.lit(1)).alias("row_count"), F.sum(digest).alias("content")
+    )
+
+
+@query("published_tables")
+def _(f: Fixture) -> DataFrame:
+    folder = new_folder(f, "published")
+    published.publish_trial(f.tables, folder, "async")
+    read = [contents(published.read_published(f.spark, folder, t, "async"), t) for t in f.tables]
+    return reduce(DataFrame.unionAll, read)
+
+
+@query("published_branches_layout")
+def _(f: Fixture) -> DataFrame:
+    folder = new_folder(f, "published")
+    published.publish_trial({"samples": schemas.to_branches_layout(f.samples)}, folder, "a/b c", layout="branches")
+    return contents(published.read_published(f.spark, folder, "samples"), "samples")
+
+
+@query("publish_replace_recover")
+def _(f: Fixture) -> DataFrame:
+    folder, steps = new_folder(f, "published"), []
+
+    def step(name: str, threads: DataFrame, replace: bool = False) -> None:
+        try:
+            published.publish_trial({"comms": f.comms, "threads": threads}, folder, "sync", replace=replace)
+            outcome = "ok"
+        except FileExistsError:
+            outcome = "refused"
+        except Exception:  # whatever stops a job: a lost disk, a broken row
+            outcome = "failed"
+        rows = published.read_published(f.spark, folder, "threads").agg(F.count(F.lit(1)).alias("row_count"))
+        steps.append(materialise(rows, "step").select(F.lit(name).alias("step"), "row_count", F.lit(outcome).alias("outcome")))
+
+    step("first", f.threads)
+    step("again", f.threads.limit(1))
+    step("broken", f.threads.withColumn("pid", F.when(F.col("id") >= 0, F.raise_error(F.lit("broken row"))).cast("int")), True)
+    step("replaced", f.threads.filter(F.col("id") % 2 == 0), True)
+    return reduce(DataFrame.unionAll, steps)
+
+
 @query("samples_branches")
 def _(f: Fixture) -> DataFrame:
     return schemas.to_branches_layout(f.samples)
@@ -347,6 +398,15 @@ def ipc_spans(f: Fixture) -> DataFrame:
     return ipc.ipc_spans(window, WINDOW)
 
 
+@query("ipc_spans_ordered")
+def _(f: Fixture) -> DataFrame:
+    """Spans written in order to several files, and numbered by reading these."""
+    path = new_folder(f, "ordered")
+    write_ordered(materialise(ipc_spans(f), "spans"), path, ["window_end_cum_cyc"], SLICE_ROWS)
+    columns = ["window_end_cum_cyc", "window_start_cum_cyc", "interior_insns", "span_width_cyc"]
+    return read_ordered(f.spark, path).select("place", *columns)
+
+
 # Calls and the event timeline ----------------------------------------------------------------------------
 
 
@@ -357,8 +417,7 @@ def _(f: Fixture) -> DataFrame:
 
 @query("ancestor_walk")
 def _(f: Fixture) -> DataFrame:
-    columns = ["call_path_id", "call_time", "return_time"]
-    return closure(ancestor_chains(f.calls, columns=columns), columns)
+    return ancestor_pairs(f.calls, columns=["call_path_id", "call_time", "return_time"])
 
 
 @query("stack_summary")
@@ -369,12 +428,15 @@ def _(f: Fixture) -> DataFrame:
 
 @query("full_syscalls")
 def _(f: Fixture) -> DataFrame:
-    return timeline.full_syscalls(call_stacks(f), view(f))
+    return timeline.syscalls_of(timeline.marked_frames(named_calls(f), view(f)))
 
 
 @query("full_syscalls_near_view")
 def _(f: Fixture) -> DataFrame:
-    return stored_syscalls(f, view(f))
+    """From the stacks near the view, as whole chains of frames."""
+    v = view(f)
+    near = timeline.calls_near(f.calls, v)
+    return timeline.full_syscalls(timeline.stacks(near, f.call_paths, f.symbols, f.dsos), v)
 
 
 @query("whole_syscalls")
@@ -681,6 +743,33 @@ def _(f: Fixture) -> DataFrame:
     return loglines.command_output(loglines.parse_records(f.record_lines), 0, "stdout")
 
 
+@query("command_output_ordered")
+def _(f: Fixture) -> DataFrame:
+    found = loglines.command_output(loglines.parse_records(f.record_lines), 0, "stdout")
+    path = new_folder(f, "ordered")
+    timed = materialise(found.withColumn("at", F.col("time").cast("long")), "output")
+    write_ordered(timed, path, ["at", "line"], SLICE_ROWS)
+    return read_ordered(f.spark, path).select("place", "time", "line")
+
+
+@query("log_normalize_files")
+def _(f: Fixture) -> DataFrame:
+    """Lines of text files that are read in splits of 16 KB."""
+    folder, setting = f.line_files(new_folder(f, "lines")), "spark.sql.files.maxPartitionBytes"
+    before = f.spark.conf.get(setting)
+    f.spark.conf.set(setting, str(1 << 14))
+    try:
+        lines = loglines.numbered_lines(f.spark, f"{folder}/*")
+    finally:
+        f.spark.conf.set(setting, before)
+    quarter = F.regexp_extract("file", r"quarter=(\d+)", 1).cast("long")
+    named = lines.select(
+        quarter.alias("quarter"), "line_no", "line", F.lit(0).alias("command_index"), F.lit("stdout").alias("output_stream_name")
+    )
+    done = loglines.normalise(named, ["quarter"], F.col("line_no").cast("string"))
+    return done.select("quarter", "line_no", "passes", "output")
+
+
 # Overlays ------------------------------------------------------------------------------------------------
 
 
@@ -731,4 +820,114 @@ def _(f: Fixture) -> DataFrame:
 
 @query("folded_stacks")
 def _(f: Fixture) -> DataFrame:
-    return overlays.folded_stacks(call_stacks(f), f.calls)
+    return overlays.folded_stacks(materialise(named_calls(f), "frames"))
+
+
+# Several trials and CPUs in one plan ---------------------------------------------------------------------
+
+PLACES = ["trial", "cpu"]
+
+
+def trials_query(name: str) -> Callable[[Callable[[Trials], DataFrame]], Callable[[Trials], DataFrame]]:
+    def register(build: Callable[[Trials], DataFrame]) -> Callable[[Trials], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Trials(spark, sf_dir))
+        return build
+
+    return register
+
+
+def trial_ranges(t: Trials) -> DataFrame:
+    """Ranges of each CPU of each trial, on axes of their own."""
+    samples = materialise(t.of(lambda f: f.sample_names()), "samples")
+    places = slice_directory(ranges.timestamped_samples(samples), "id", keys=PLACES, rows_per_slice=SLICE_ROWS)
+    return ranges.stored_ranges(samples, keys=PLACES, names=["branch_type_name"], slices=places)
+
+
+def trial_clocks(t: Trials, stored: DataFrame) -> DataFrame:
+    views = ranges.middle_views(t.of(lambda f: f.samples), PLACES, DAY)
+    return materialise(ranges.clocks(stored, views, PLACES), "clocks")
+
+
+@trials_query("trials_ranges")
+def _(t: Trials) -> DataFrame:
+    return trial_ranges(t)
+
+
+@trials_query("trials_clocks")
+def _(t: Trials) -> DataFrame:
+    return trial_clocks(t, trial_ranges(t))
+
+
+@trials_query("trials_view_ipc")
+def _(t: Trials) -> DataFrame:
+    stored = trial_ranges(t)
+    timed = ranges.on_clocks(stored, trial_clocks(t, stored), PLACES).filter("in_view")
+    return timed.select(*PLACES, "end_sample_id", ratio(F.col("insn_count"), F.col("cyc_count")).alias("ipc"), "end_ns", "duration_ns")
+
+
+@trials_query("trials_ipc_spans")
+def _(t: Trials) -> DataFrame:
+    stored = trial_ranges(t)
+    window = ipc.sliding_window(stored, WINDOW, keys=PLACES, rows_per_slice=SLICE_ROWS)
+    return ipc.ipc_spans(window, WINDOW, keys=PLACES)
+
+
+@trials_query("trials_ipc_buckets")
+def _(t: Trials) -> DataFrame:
+    buckets = overlays.ipc_buckets(trial_ranges(t), 2 * WINDOW, WINDOW, PLACES)
+    return buckets.withColumns({c: F.round(c, 6) for c in ("insns", "ipc")})
+
+
+@trials_query("trials_range_cdf")
+def _(t: Trials) -> DataFrame:
+    return distribution.range_cdf(t.of(counted_samples), width=SLICE_ROWS, keys=["trial"])
+
+
+@trials_query("trials_insn_class_share")
+def _(t: Trials) -> DataFrame:
+    return distribution.insn_class_share(t.of(counted_samples), width=SLICE_ROWS, keys=["trial"])
+
+
+@trials_query("trials_error_gaps")
+def _(t: Trials) -> DataFrame:
+    errors = gaps.number_errors(t.of(lambda f: f.auxtrace_errors), SLICE_ROWS, keys=["trial"])
+    return gaps.error_gaps(errors, t.of(lambda f: f.sample_names()), SLICE_ROWS, keys=["trial"])
+
+
+def trial_views(t: Trials) -> DataFrame:
+    return materialise(ranges.middle_views(t.of(lambda f: f.samples), ["trial"], DAY), "views")
+
+
+def trial_dims(t: Trials) -> list[DataFrame]:
+    return [t.of(lambda f: f.call_paths), t.of(lambda f: f.symbols), t.of(lambda f: f.dsos)]
+
+
+def trial_syscalls(t: Trials, views: DataFrame) -> DataFrame:
+    named = timeline.calls_with_symbols(t.of(lambda f: f.calls), *trial_dims(t), keys=["trial"])
+    return timeline.syscalls_of(timeline.marked_frames(named, views, ["trial"]), ["trial"])
+
+
+@trials_query("trials_full_syscalls")
+def _(t: Trials) -> DataFrame:
+    return trial_syscalls(t, trial_views(t))
+
+
+@trials_query("trials_on_cpu_syscalls")
+def _(t: Trials) -> DataFrame:
+    views = trial_views(t)
+    switches = timeline.kernel_context_switches(t.of(lambda f: f.calls), *trial_dims(t), SLICE_ROWS, keys=["trial"])
+    return timeline.on_cpu_syscalls(
+        materialise(switches, "switches"), materialise(trial_syscalls(t, views), "syscalls"), views, SLICE_ROWS, keys=["trial"]
+    )
+
+
+@trials_query("trials_ancestor_walk")
+def _(t: Trials) -> DataFrame:
+    columns = ["call_path_id", "call_time", "return_time"]
+    return ancestor_pairs(materialise(t.of(lambda f: f.calls), "calls"), columns=columns, keys=["trial"])
+
+
+@trials_query("trials_folded_stacks")
+def _(t: Trials) -> DataFrame:
+    named = timeline.calls_with_symbols(t.of(lambda f: f.calls), *trial_dims(t), keys=["trial"])
+    return overlays.folded_stacks(materialise(named, "frames"), keys=["trial"])

@@ -217,7 +217,7 @@ def test_latency_and_transitions(spark):
 
 def test_folded_stacks(spark, dims):
     calls = make_calls(spark, stack(10, 100, 120))
-    got = {r.path: r.self_time for r in overlays.folded_stacks(timeline.stacks(calls, *dims), calls).collect()}
+    got = {r.path: r.self_time for r in overlays.folded_stacks(timeline.calls_with_symbols(calls, *dims)).collect()}
     full = "entry_SYSCALL_64;do_syscall_64;x64_sys_call;__x64_sys_read"
     assert got[full] == 20 and got["entry_SYSCALL_64"] == 2
     assert sum(got.values()) == 26

@@ -109,3 +109,130 @@ def closure(chains: DataFrame, columns: Sequence[str] = (), keys: Sequence[str]
         F.col("depth").cast("long").alias("depth"),
         *[F.col("_node")[c].alias(c) for c in columns],
     )
+
+
+def _pointers(nodes: DataFrame, node: str, parent: str, root: int, keys: Sequence[str]) -> DataFrame:
+    """``_group``, ``id`` and ``up``, the parent: NULL for the root and below it."""
+    up = F.when((F.col(node) != root) & (F.col(parent) != root), F.col(parent).cast("long"))
+    return nodes.select(group_of(keys).alias("_group"), F.col(node).cast("long").alias("id"), up.alias("up"))
+
+
+def _further(jumps: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """Pointers twice as long: each node's ``up`` replaced by that of the node it points to; NULL past the end."""
+    there = known.select(
+        "_group", F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in columns]
+    )
+    return jumps.join(there, ["_group", "up"], "left")
+
+
+def ancestor_pairs(
+    nodes: DataFrame,
+    *,
+    node: str = "id",
+    parent: str = "parent_id",
+    columns: Sequence[str] = (),
+    root: int = 0,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Each node with itself and each of its ancestors, as rows: ``keys``, ``group_id``, ``id``, ``parent_id``, ``depth``, ``columns``.
+
+    The same rows as :func:`closure` of :func:`ancestor_chains` gives, without chains: rounds double the distance
+    that pairs of ids span, and what an ancestor looks like is joined once at the end. A pair is shuffled
+    once when it is found and once for its columns, so the work is that of the output, however long the stacks and
+    wide the columns. The root is no join key; it comes from one row per combination of ``keys``. Pointers in a circle raise
+    ValueError. ``nodes`` is read several times: pass a stored table.
+    """
+    jumps = materialise(_pointers(nodes, node, parent, root, keys), "jumps")
+    known = jumps  # as long pointers of all nodes, NULL for those that ended
+    pairs = [jumps.select("_group", F.col("id").alias("group_id"), "id", F.lit(0).cast("long").alias("depth"))]
+    pending, distance = jumps.filter("up is not null"), 1
+    while not pending.isEmpty():
+        reached = reduce(DataFrame.unionAll, pairs).select("_group", F.col("group_id").alias("up"), F.col("id").alias("_id"), "depth")
+        found = pending.join(reached, ["_group", "up"]).select(
+            "_group", F.col("id").alias("group_id"), F.col("_id").alias("id"), (F.col("depth") + distance).alias("depth")
+        )
+        found = materialise(found, "pairs")
+        if not found.filter("group_id = id").isEmpty():
+            raise ValueError("parent pointers form a cycle")
+        pairs.append(found)
+        grown = materialise(_further(pending, known).select("_group", "id", F.col("_up").alias("up")), "jumps")
+        pending, known, distance = grown.filter("up is not null"), grown, distance * 2
+    looks = nodes.select(
+        group_of(keys).alias("_group"), F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("parent_id"),
+        *columns,
+    )
+    below = reduce(DataFrame.unionAll, pairs).join(looks, ["_group", "id"])
+    # What stands right below the root has the root as one more ancestor.
+    under = (F.col("parent_id") == root) & (F.col("id") != root)
+    top = looks.filter(F.col("id") == root)
+    ended = below.filter(under).select("_group", "group_id", (F.col("depth") + 1).alias("depth"))
+    ended = ended.join(top if keys else F.broadcast(top), "_group")
+    everything = below.unionByName(ended)
+    return everything.select(*_names(keys), "group_id", "id", "parent_id", "depth", *columns)
+
+
+def nearest_marked(
+    nodes: DataFrame, marked: Column, *, node: str = "id", parent: str = "parent_id", root: int = 0, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``_group``, ``id``, ``at``: for each node the nearest of itself and its ancestors that is marked, if there is one.
+
+    Each round doubles the distance a node looks up; nodes that met a marked one or the end of their stack leave. Only ids
+    are carried. Pointers in a circle raise ValueError. ``nodes`` is read several times: pass a stored table.
+    """
+    here = F.coalesce(marked, F.lit(False))
+    own = nodes.select(
+        group_of(keys).alias("_group"), F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("_parent"),
+        here.alias("_here"),
+    )
+    tops = own.filter((F.col("id") == root) & F.col("_here")).select("_group", F.lit(root).cast("long").alias("_top"))
+    linked = own.join(tops if keys else F.broadcast(tops), "_group", "left")
+    at = F.when(F.col("_here"), F.col("id")).when(F.col("_parent") == root, F.col("_top"))
+    up = F.when(~F.col("_here") & (F.col("id") != root) & (F.col("_parent") != root), F.col("_parent"))
+    state = materialise(linked.select("_group", "id", at.alias("at"), up.alias("up")), "marked")
+    found, pending = [state.filter("at is not null").select("_group", "id", "at")], state.filter("up is not null")
+    known = state
+    # A way up meets each of these nodes at most once, so more rounds than that mean a circle.
+    for _ in range(pending.count().bit_length() + 1):
+        if pending.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        grown = _further(pending.drop("at"), known, "at").select(
+            "_group", "id", F.col("_at").alias("at"), F.when(F.col("_at").isNull(), F.col("_up")).alias("up")
+        )
+        grown = materialise(grown, "marked")
+        found.append(grown.filter("at is not null").select("_group", "id", "at"))
+        pending = grown.filter("up is not null")
+        ended = [f.withColumn("up", F.lit(None).cast("long")) for f in found]
+        known = reduce(DataFrame.unionByName, [*ended, pending])
+    raise ValueError("parent pointers form a cycle")
+
+
+def chain_digests(
+    nodes: DataFrame, value: Column, *, node: str = "id", parent: str = "parent_id", root: int = 0, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``_group``, ``id``, ``digest`` of each node but the root: equal for nodes whose values up to below the root are equal.
+
+    SHA-256 over the values of growing stretches: a round joins the digest of 2^k nodes with that of the next ones, so stacks of
+    equal length are cut alike, and only ids and 32 bytes are carried. ``nodes`` is read once; pointers in a circle raise ValueError.
+    """
+    up = F.when(F.col(parent) != root, F.col(parent).cast("long"))
+    # The empty value and no value differ from any text.
+    text = F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit("n"))
+    state = nodes.filter(F.col(node) != root).select(
+        group_of(keys).alias("_group"), F.col(node).cast("long").alias("id"), up.alias("up"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+    )
+    state = materialise(state, "digests")
+    done, pending, known = [state.filter("up is null")], state.filter("up is not null"), state
+    for _ in range(pending.count().bit_length() + 1):
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("_group", "id", "digest")
+        joined = F.unhex(F.sha2(F.concat("digest", "_digest"), 256))
+        grown = _further(pending, known, "digest").select(
+            "_group", "id", F.col("_up").alias("up"),
+            F.when(F.col("_digest").isNull(), F.col("digest")).otherwise(joined).alias("digest"),
+        )
+        grown = materialise(grown, "digests")
+        done.append(grown.filter("up is null"))
+        pending = grown.filter("up is not null")
+        known = reduce(DataFrame.unionByName, [*done, pending])
+    raise ValueError("parent pointers form a cycle")

@@ -133,6 +133,13 @@ def group_of(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
 
+def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``table``, which has a row per combination of ``keys``; NULL keys meet."""
+    rest = [c for c in table.columns if c not in keys]
+    right = table.select(group_of(keys).alias("_group"), *rest)
+    return df.withColumn("_group", group_of(keys)).join(right, "_group", how).drop("_group")
+
+
 @dataclass(frozen=True)
 class SliceDirectory:
     """Slices of each group along its own axis, as tables.

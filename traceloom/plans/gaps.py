@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.operators import asof_join, ordered_scan, quantile_slices
-from traceloom.operators.slices import DEFAULT_SLICE_ROWS
+from traceloom.operators.slices import DEFAULT_SLICE_ROWS, group_of
 from traceloom.plans.distribution import TRACE_BEGIN
 from traceloom.plans.ranges import timestamped_samples
 from traceloom.session import materialise
 
 
-def number_errors(errors: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """Give the errors an ``id`` from 0 in order of time, cpu and code; further ties follow a hash of all columns.
+def number_errors(
+    errors: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Give the errors of each key an ``id`` from 0 in order of time, cpu and code; further ties follow a hash of all columns.
 
     Equal rows are counted before anything is ordered. Rows that share time, cpu and code are ranked among
     themselves in slices of the hash, so a burst of errors at one place is spread over many tasks.
     """
-    place = ["time", "cpu", "code"]
+    place = [*keys, *[c for c in ("time", "cpu", "code") if c not in keys]]
     rows = errors.groupBy(*errors.columns).agg(F.count(F.lit(1)).alias("_rows"))
     rows = materialise(rows.withColumn("_hash", F.xxhash64(*errors.columns)), "errors")
     tie = F.shiftleft(F.coalesce("cpu", F.lit(0)).cast("long"), 32) + F.coalesce("code", F.lit(0))
     places = rows.groupBy(*place).agg(F.sum("_rows").alias("_here")).withColumn("_tie", tie)
     places = materialise(places, "error_places")
     upto = ordered_scan(
-        places, "time", tie="_tie", sums={"_upto": "_here"}, slices=quantile_slices(places, "time", rows_per_slice)
+        places,
+        "time",
+        tie="_tie",
+        keys=keys,
+        sums={"_upto": "_here"},
+        slices=quantile_slices(places, "time", rows_per_slice, keys=keys, tie="_tie"),
     ).select(*[F.col(c).alias(f"_{c}") for c in place], (F.col("_upto") - F.col("_here")).alias("_base"))
     within = ordered_scan(
         rows, "_hash", keys=place, sums={"_rank": "_rows"}, slices=quantile_slices(rows, "_hash", rows_per_slice)
@@ -37,27 +46,24 @@ def number_errors(errors: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS) -
 
 
 def error_gaps(
-    errors: DataFrame, samples: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS
+    errors: DataFrame, samples: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Each error with the samples just before, at and after its time.
+    """Each error with the samples of its key just before, at and after its time.
 
     Neighbours are found among all samples; their ids and branch types come from the counted samples at
     those times, so several counted samples at one time give several rows. ``samples`` needs ``id``,
     ``time``, ``branch_type_name`` and the two counts.
     """
-    at = materialise(errors.select("id", "time", "code", "msg"), "errors")
-    near = materialise(_neighbour_times(at, samples, rows_per_slice), "neighbours")
+    group = group_of(keys).alias("_of")
+    at = materialise(errors.select(group, "id", "time", "code", "msg"), "errors")
+    seen = samples.select(group, "id", "time", "branch_type_name", "insn_count", "cyc_count")
+    near = materialise(_neighbour_times(at, seen, rows_per_slice), "neighbours")
     wanted = near.select(
-        F.explode(F.array("time", "next_sample_time", "prev_sample_time")).alias("time")
+        "_of", F.explode(F.array("time", "next_sample_time", "prev_sample_time")).alias("time")
     ).distinct()
-    around = materialise(
-        samples.select("id", "time", "branch_type_name", "insn_count", "cyc_count").join(
-            wanted, "time", "left_semi"
-        ),
-        "around",
-    )
-    exact = around.select(F.col("time").alias("matching_sample_time")).distinct()
-    found = near.join(exact, F.col("time") == F.col("matching_sample_time"), "left")
+    around = materialise(seen.join(wanted, ["_of", "time"], "left_semi"), "around")
+    exact = around.select("_of", "time", F.col("time").alias("matching_sample_time")).distinct()
+    found = near.join(exact, ["_of", "time"], "left")
     found = found.withColumns(
         {
             "next_gap_duration": F.col("next_sample_time") - F.col("time"),
@@ -67,12 +73,14 @@ def error_gaps(
     counted = timestamped_samples(around)
     for name in ("next", "prev", "matching"):
         details = counted.select(
+            "_of",
             F.col("time").alias(f"{name}_sample_time"),
             F.col("id").alias(f"{name}_sample_id"),
             F.col("branch_type_name").alias(f"{name}_branch_type"),
         )
-        found = found.join(details, f"{name}_sample_time", "left")
+        found = found.join(details, ["_of", f"{name}_sample_time"], "left")
     return found.select(
+        *[F.col("_of")[k].alias(k) for k in keys],
         "id",
         "time",
         "code",
@@ -100,25 +108,26 @@ def _neighbour_times(errors: DataFrame, samples: DataFrame, rows_per_slice: int)
         F.struct((place + 1).alias("place"), (-2 - F.col("id") * 2).alias("tie")),
     )
     stream = samples.select(
-        place.alias("place"), F.col("id").alias("tie"), F.col("time").alias("seen"), none.alias("error")
+        "_of", place.alias("place"), F.col("id").alias("tie"), F.col("time").alias("seen"), none.alias("error")
     ).unionByName(
-        errors.select(F.inline(ask), none.alias("seen"), F.col("id").alias("error"))
+        errors.select("_of", F.inline(ask), none.alias("seen"), F.col("id").alias("error"))
     )
     scanned = ordered_scan(
         stream,
         "place",
         tie="tie",
+        keys=["_of"],
         last_known={"before": "seen"},
         next_known={"after": "seen"},
-        slices=quantile_slices(stream, "place", rows_per_slice),
+        slices=quantile_slices(stream, "place", rows_per_slice, keys=["_of"], tie="tie"),
     )
     # The lower place saw the earlier sample, the higher one the later.
-    seen = scanned.filter("error is not null").groupBy(F.col("error").alias("id")).agg(
+    seen = scanned.filter("error is not null").groupBy("_of", F.col("error").alias("id")).agg(
         F.min_by("before", "place").alias("prev_sample_time"),
         F.max_by("after", "place").alias("next_sample_time"),
     )
     timed = F.col("time").isNotNull()
-    return errors.join(seen, "id").withColumns(
+    return errors.join(seen, ["_of", "id"]).withColumns(
         {c: F.when(timed, F.col(c)) for c in ("prev_sample_time", "next_sample_time")}
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.columns import ratio
-from traceloom.operators import QuantileSlices, WidthSlices, ordered_scan, quantile_slices
+from traceloom.operators import QuantileSlices, SliceDirectory, WidthSlices, ordered_scan, quantile_slices
 from traceloom.operators.slices import DEFAULT_SLICE_ROWS
 
 WINDOW_CYCLES = 2_000
@@ -28,7 +28,7 @@ def sliding_window(
     size: int = WINDOW_CYCLES,
     *,
     keys: Sequence[str] = (),
-    slices: QuantileSlices | WidthSlices | None = None,
+    slices: QuantileSlices | SliceDirectory | WidthSlices | None = None,
     rows_per_slice: int = DEFAULT_SLICE_ROWS,
 ) -> DataFrame:
     """One row per window position with the ranges under its two edges.
@@ -43,7 +43,7 @@ def sliding_window(
     it. Positions after the last range are left out.
     """
     if slices is None:
-        slices = quantile_slices(ranges, "end_cum_cyc", rows_per_slice)
+        slices = quantile_slices(ranges, "end_cum_cyc", rows_per_slice, keys=keys, tie="end_sample_id")
     end = F.col("end_cum_cyc").cast("long")
     number = F.col("end_sample_id").cast("long")
     # At equal positions leading points sort first: they are the rows that stay, so the step is theirs.

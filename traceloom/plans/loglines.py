@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.operators import WidthSlices, ordered_scan
+from traceloom.session import materialise
+
 # Fields every log record has, and the texts the harness writes.
 REQUIRED = ["time", "level", "msg"]
 OUTPUT_LEVEL = "INFO"
@@ -26,6 +29,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(_without_return(F.col("value")).alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line_no`` and ``line`` of text files: lines as in :func:`read_lines`, numbered from 0 within each file.
+
+    Large files are read in several splits, each by a task that does not know how many lines come before. Within a
+    split a line's number follows from the order of reading; the numbers of the splits before it are counts per split, added up along
+    the offsets of the splits. Lines are stored once, with those numbers, and never shuffled.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+        _without_return(F.col("value")).alias("line"),
+    )
+    stored = materialise(read, "lines")
+    splits = stored.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    splits = materialise(splits, "splits")
+    upto = ordered_scan(splits, "_split", keys=["file"], sums={"_upto": "_lines"}, slices=WidthSlices(1 << 33))
+    base = upto.select("file", "_split", (F.col("_upto") - F.col("_lines") - F.col("_first")).alias("_base"))
+    return stored.join(base, ["file", "_split"]).select("file", (F.col("_at") + F.col("_base")).alias("line_no"), "line")
+
+
 def _without_return(line: Column) -> Column:
     return F.when(F.endswith(line, F.lit("\r")), F.expr("substring(value, 1, length(value) - 1)")).otherwise(line)
 

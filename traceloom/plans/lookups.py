@@ -7,12 +7,13 @@ execution splits a hot key. Callers should filter the fact table first; the join
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.columns import code_text, hex_text, hex_text_unsigned, ipc, truth_text
+from traceloom.operators.slices import group_of
 
 # Texts of the numeric codes in the trace tables.
 BINDINGS = {0: "local", 1: "global"}
@@ -37,9 +38,18 @@ ERROR_CODES = {
 POWER_EVENTS = ["cbr", "mwait", "exstop", "pwre", "pwrx"]
 
 
-def look_up(df: DataFrame, key: str, dimension: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Add ``columns`` (new name -> dimension column) of the dimension row whose id is ``key``."""
+def look_up(
+    df: DataFrame, key: str, dimension: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``columns`` (new name -> dimension column) of the dimension row whose id is ``key``.
+
+    With ``keys`` both sides have them, as tables of many trials do, and ids count within equal ones.
+    """
     named = [F.col(src).alias(out) for out, src in columns.items()]
+    if keys:
+        right = dimension.select(group_of(keys).alias("_group"), F.col("id").alias("_id"), *named)
+        left = df.withColumn("_group", group_of(keys))
+        return left.join(right, (left["_group"] == right["_group"]) & (F.col(key) == F.col("_id")), "left").drop("_id", "_group")
     return df.join(dimension.select(F.col("id").alias("_id"), *named), F.col(key) == F.col("_id"), "left").drop(
         "_id"
     )

@@ -2,48 +2,97 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.columns import ratio
-from traceloom.operators import WidthSlices, asof_join, ordered_scan, overlap_join, quantile_slices
-from traceloom.operators.slices import DEFAULT_SLICE_ROWS
+from traceloom.operators import (
+    WidthSlices,
+    ancestor_chains,
+    asof_join,
+    chain_digests,
+    join_groups,
+    ordered_scan,
+    overlap_join,
+    quantile_slices,
+)
+from traceloom.operators.slices import DEFAULT_SLICE_ROWS, group_of
 from traceloom.plans.distribution import TRACE_BEGIN
-from traceloom.plans.timeline import calls_by_symbol, errors_and_ranges, following_calls
+from traceloom.plans.timeline import ROOT, calls_by_symbol, errors_and_ranges, following_calls
 from traceloom.session import materialise
 
+#: Bucket edges of one range that are marked together.
+STRETCH_EDGES = 4096
 
-def ipc_buckets(ranges: DataFrame, size: int, step: int) -> DataFrame:
-    """IPC in buckets ``[i * step, i * step + size)`` of cycles; a smaller step makes them overlap.
 
-    A range shares its instructions out evenly over its cycles. Cycles are counted from 0, so a range
-    covers ``[end - length, end)``.
+def ipc_buckets(ranges: DataFrame, size: int, step: int, keys: Sequence[str] = ()) -> DataFrame:
+    """IPC in buckets ``[i * step, i * step + size)`` of cycles, with their times; a smaller step makes them overlap.
+
+    ``keys``, ``bucket``, ``start_cyc``, ``start_ns``, ``end_ns``, ``cycles``, ``insns``, ``ipc``. A range shares its
+    instructions and its time out evenly over its cycles. Cycles are counted from 0 within a key, so a range covers
+    ``[end - length, end)`` and the ranges of a key cover its axis without gaps. Times before the first sample are NULL; a bucket
+    that the trace ends in ends with it. Instructions of a range without cycles count with the range before it.
+
+    A range only marks the bucket edges inside it, with the running totals there; a bucket is the difference between its two
+    edges. So ranges between edges cost nothing, overlapping buckets are not added up again, and an edge is
+    shuffled once for each role it has. A range over very many edges is first cut into stretches, which are dealt to
+    all tasks.
     """
+    pane = math.gcd(size, step)
     end = F.col("end_cum_cyc")
     start = end - F.col("cyc_count")
-    first = F.greatest(F.lit(0), F.floor((start - size) / step) + 1)
-    spread = ranges.filter("cyc_count > 0").select(
-        start.alias("s"), end.alias("e"), "insn_count", "cyc_count",
-        F.explode(F.sequence(first, F.floor((end - 1) / step))).alias("bucket"),
+    first, last = F.ceil(start / pane).cast("long"), F.floor((end - 1) / pane).cast("long")
+    spans = ranges.filter("cyc_count > 0").select(
+        *keys, start.alias("_s"), "cyc_count", "insn_count", (F.col("end_cum_insns") - F.col("insn_count")).alias("_insns"),
+        "start_time", "end_time", first.alias("_first"), last.alias("_last"),
+    ).filter("_first <= _last")
+    stretch = F.explode(F.sequence(F.floor(F.col("_first") / STRETCH_EDGES), F.floor(F.col("_last") / STRETCH_EDGES)))
+    short = F.col("_last") - F.col("_first") < STRETCH_EDGES
+    cut = spans.filter(~short).withColumn("_stretch", stretch)
+    cut = cut.repartition(F.col("_stretch")).select(
+        *[c for c in spans.columns if c not in ("_first", "_last")],
+        F.greatest("_first", F.col("_stretch") * STRETCH_EDGES).alias("_first"),
+        F.least("_last", F.col("_stretch") * STRETCH_EDGES + (STRETCH_EDGES - 1)).alias("_last"),
+    )
+    edges = spans.filter(short).unionByName(cut).withColumn("_edge", F.explode(F.sequence("_first", "_last")))
+    inside = F.col("_edge") * pane - F.col("_s")
+    share = ratio(inside, F.col("cyc_count"))
+    marks = edges.select(
+        *keys,
+        F.inline(F.array(
+            F.struct(F.lit(True).alias("_opens"), (F.col("_edge") * pane).alias("_at")),
+            F.struct(F.lit(False).alias("_opens"), (F.col("_edge") * pane - size).alias("_at")),
+        )),
+        "_insns",
+        (F.col("insn_count") * share).alias("_part"),
+        (F.col("start_time") + F.round((F.col("end_time") - F.col("start_time")) * share).cast("long")).alias("_ns"),
+    ).filter((F.pmod("_at", F.lit(step)) == 0) & (F.col("_at") >= 0))
+    opens, closes = F.col("_opens"), ~F.col("_opens")
+    buckets = marks.groupBy(*keys, (F.expr(f"_at div {step}")).alias("bucket")).agg(
+        *[F.max(F.when(side, F.col(c))).alias(f"{name}{c}") for name, side in (("open", opens), ("close", closes)) for c in ("_insns", "_part", "_ns")]
+    )
+    # The first edge is cycle 0, which the first range begins with; what lies past the end has its totals.
+    totals = ranges.groupBy(*keys).agg(
+        F.max("end_cum_cyc").alias("_cycles"), F.max("end_cum_insns").alias("_all"), F.max("end_time").alias("_end")
     )
+    found = join_groups(buckets.filter("open_insns is not null"), totals, keys)
     low = F.col("bucket") * step
-    inside = F.least(F.col("e"), low + size) - F.greatest(F.col("s"), low)
-    return (
-        spread.select("bucket", inside.alias("cyc"), "insn_count", "cyc_count")
-        .groupBy("bucket")
-        .agg(
-            F.sum("cyc").alias("cycles"),
-            F.sum(ratio(F.col("insn_count") * F.col("cyc"), F.col("cyc_count"))).alias("insns"),
-        )
-        .select(
-            "bucket",
-            (F.col("bucket") * step).alias("start_cyc"),
-            "cycles",
-            "insns",
-            ratio(F.col("insns"), F.col("cycles")).alias("ipc"),
-        )
+    inner = F.col("close_insns").isNotNull()
+    whole = F.coalesce("close_insns", "_all") - F.col("open_insns")
+    insns = whole + (F.coalesce("close_part", F.lit(0.0)) - F.col("open_part"))
+    cycles = F.least("_cycles", low + size) - low
+    return found.select(
+        *keys,
+        "bucket",
+        low.alias("start_cyc"),
+        F.col("open_ns").alias("start_ns"),
+        F.when(inner, F.col("close_ns")).otherwise(F.col("_end")).alias("end_ns"),
+        cycles.alias("cycles"),
+        insns.alias("insns"),
+        ratio(insns, cycles).alias("ipc"),
     )
 
 
@@ -242,21 +291,63 @@ def transition_counts(
     )
 
 
-def folded_stacks(stack: DataFrame, calls: DataFrame) -> DataFrame:
-    """Time spent in each call path itself, without its callees; paths run from the outermost frame."""
-    taken = F.col("return_time") - F.col("call_time")
-    inner = calls.groupBy(F.col("parent_id").alias("id")).agg(F.sum(taken).alias("_inner"))
-    own = (
-        calls.filter(F.col("id") != 0)
-        .select("id", taken.alias("_taken"))
-        .join(inner, "id", "left")
-        .select("id", (F.col("_taken") - F.coalesce("_inner", F.lit(0))).alias("self_time"))
+def self_times(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``_group``, ``id``, ``parent_id``, ``self_time`` of each call but the root: its time without that of its callees."""
+    timed = calls.select(
+        group_of(keys).alias("_group"), "id", "parent_id", (F.col("return_time") - F.col("call_time")).alias("_taken")
+    )
+    inner = timed.groupBy("_group", F.col("parent_id").alias("id")).agg(F.sum("_taken").alias("_inner"))
+    own = timed.filter(F.col("id") != ROOT).join(inner, ["_group", "id"], "left")
+    return own.select(
+        "_group", "id", "parent_id", (F.col("_taken") - F.coalesce("_inner", F.lit(0))).alias("self_time")
     )
-    frames = F.filter("chain", lambda f: f.id != 0)
-    path = F.concat_ws(";", F.reverse(F.transform(frames, lambda f: f.symbol)))
+
+
+def call_path_table(named: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The call paths of a trace as a trie: one row per distinct path, with its totals.
+
+    ``keys``, ``path_id``, ``parent_path_id`` (NULL at the top), ``symbol`` of the last frame, ``self_time``, ``calls``.
+    ``named`` are stored calls with symbols. Calls are told apart by digests of their paths; a path is
+    never spelled out per call, and all that belongs to a path is added up before it gets a number.
+    """
+    digests = materialise(
+        chain_digests(named, F.col("symbol"), root=ROOT, keys=keys), "call-digests"
+    )
+    own = self_times(named, keys).join(digests, ["_group", "id"])
+    paths = own.groupBy("_group", "digest").agg(
+        F.sum("self_time").alias("self_time"), F.count(F.lit(1)).alias("calls"), F.min_by("parent_id", "id").alias("_parent"),
+        F.min("id").alias("_example"),
+    )
+    paths = materialise(paths.withColumn("path_id", F.monotonically_increasing_id()), "call-paths")
+    # The path above is that of the caller of any one call with this path.
+    above = digests.select("_group", F.col("id").alias("_parent"), F.col("digest").alias("_above"))
+    numbers = paths.select("_group", F.col("digest").alias("_above"), F.col("path_id").alias("parent_path_id"))
+    symbols = named.select(group_of(keys).alias("_group"), F.col("id").alias("_example"), "symbol")
+    found = paths.join(above, ["_group", "_parent"], "left").join(numbers, ["_group", "_above"], "left")
+    found = found.join(symbols, ["_group", "_example"])
+    return materialise(
+        found.select(*[F.col("_group")[k].alias(k) for k in keys], "path_id", "parent_path_id", "symbol", "self_time", "calls"),
+        "call-paths",
+    )
+
+
+def folded_paths(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Self time and calls per path as text, from the outermost frame; from :func:`call_path_table`.
+
+    Only distinct paths are spelled out. Frames without a symbol leave no trace in the text, so paths that differ in
+    those alone are added up.
+    """
+    chains = ancestor_chains(paths, node="path_id", parent="parent_path_id", columns=["symbol"], root=-1, keys=keys)
+    text = F.concat_ws(";", F.reverse(F.transform("chain", lambda f: f.symbol)))
+    spelled = chains.select(group_of(keys).alias("_group"), F.col("id").alias("path_id"), text.alias("path"))
     return (
-        stack.select("id", path.alias("path"))
-        .join(own, "id")
-        .groupBy("path")
-        .agg(F.sum("self_time").alias("self_time"), F.count(F.lit(1)).alias("calls"))
+        paths.withColumn("_group", group_of(keys))
+        .join(spelled, ["_group", "path_id"])
+        .groupBy(*keys, "path")
+        .agg(F.sum("self_time").alias("self_time"), F.sum("calls").alias("calls"))
     )
+
+
+def folded_stacks(named: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Time spent in each call path itself, without its callees; ``named`` are stored calls with symbols."""
+    return folded_paths(call_path_table(named, keys), keys)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.columns import ratio
-from traceloom.operators import QuantileSlices, WidthSlices, ordered_scan
+from traceloom.operators import QuantileSlices, SliceDirectory, WidthSlices, join_groups, ordered_scan
 from traceloom.session import materialise
 
 VIEW_DURATION = 15_000
@@ -26,7 +26,7 @@ def timestamped_ranges(
     *,
     keys: Sequence[str] = (),
     names: Sequence[str] = (),
-    slices: WidthSlices | QuantileSlices | None = None,
+    slices: WidthSlices | QuantileSlices | SliceDirectory | None = None,
 ) -> DataFrame:
     """Each counted sample as the range since the previous one, in order of ``id`` within ``keys``.
 
@@ -93,6 +93,46 @@ def middle_view(samples: DataFrame, duration: int = VIEW_DURATION) -> View:
     return View(start, start + duration)
 
 
+def middle_views(samples: DataFrame, keys: Sequence[str], duration: int = VIEW_DURATION) -> DataFrame:
+    """:func:`middle_view` of each combination of ``keys``, as a table: ``keys``, ``view_start``, ``view_end``."""
+    extent = timestamped_samples(samples).groupBy(*keys).agg(
+        F.min(F.when(F.col("time") > 0, F.col("time"))).alias("_first"), F.max("time").alias("_last")
+    )
+    start = F.col("_first") + F.expr("(_last - _first) div 2")
+    return extent.filter("_first is not null").select(
+        *keys, start.alias("view_start"), (start + F.lit(duration)).alias("view_end")
+    )
+
+
+def clocks(ranges: DataFrame, views: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The linear map from cycles to ns through both ends of each view, as a table; see :class:`CycleClock`.
+
+    ``keys``, ``start_ns``, ``start_cyc``, ``end_ns``, ``end_cyc``, ``rate``. A key without a range after its view has none.
+    """
+    low, high = (
+        F.min(F.when(F.col("end_time") > F.col(edge), F.col("end_cum_cyc"))) for edge in ("view_start", "view_end")
+    )
+    found = join_groups(ranges.select(*keys, "end_time", "end_cum_cyc"), views, keys)
+    ends = found.groupBy(*keys, "view_start", "view_end").agg(low.alias("start_cyc"), high.alias("end_cyc"))
+    rate = ratio(F.col("view_end") - F.col("view_start"), F.col("end_cyc") - F.col("start_cyc"))
+    return ends.select(
+        *keys, F.col("view_start").alias("start_ns"), "start_cyc", F.col("view_end").alias("end_ns"), "end_cyc",
+        rate.alias("rate"),
+    )
+
+
+def on_clocks(ranges: DataFrame, clock: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranges with ``end_ns`` and ``duration_ns`` on the clock of their key, and whether they end ``in_view``."""
+    timed = join_groups(ranges, clock, keys)
+    return timed.withColumns(
+        {
+            "in_view": F.col("end_cum_cyc").between(F.col("start_cyc"), F.col("end_cyc")),
+            "duration_ns": F.col("cyc_count") * F.col("rate"),
+            "_end_ns": F.col("start_ns") + (F.col("end_cum_cyc") - F.col("start_cyc")) * F.col("rate"),
+        }
+    ).drop("start_ns", "start_cyc", "end_ns", "end_cyc", "rate").withColumnRenamed("_end_ns", "end_ns")
+
+
 def time_bounds(ranges: DataFrame, view: View) -> DataFrame:
     """Both ends of the view in ns and in cycles: the cycle is where the first later range ends."""
     later = [F.min(F.when(F.col("end_time") > ns, F.col("end_cum_cyc"))) for ns in (view.start, view.end)]
@@ -157,7 +197,7 @@ def stored_ranges(
     *,
     keys: Sequence[str] = (),
     names: Sequence[str] = (),
-    slices: WidthSlices | QuantileSlices | None = None,
+    slices: WidthSlices | QuantileSlices | SliceDirectory | None = None,
 ) -> DataFrame:
     """Timestamped ranges written once, for plans that read them several times."""
     return materialise(timestamped_ranges(samples, keys=keys, names=names, slices=slices), "ranges")

@@ -14,10 +14,12 @@ from traceloom.operators import (
     WidthSlices,
     ancestor_chains,
     asof_join,
+    join_groups,
+    nearest_marked,
     ordered_scan,
     quantile_slices,
 )
-from traceloom.operators.slices import DEFAULT_SLICE_ROWS
+from traceloom.operators.slices import DEFAULT_SLICE_ROWS, group_of
 from traceloom.plans.lookups import context_switches_view, look_up
 from traceloom.plans.ranges import View
 from traceloom.session import materialise
@@ -35,27 +37,39 @@ OVERFLOW = "Overflow packet"
 
 
 def calls_with_symbols(
-    calls: DataFrame, call_paths: DataFrame, symbols: DataFrame, dsos: DataFrame
+    calls: DataFrame, call_paths: DataFrame, symbols: DataFrame, dsos: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Calls with ``symbol`` and ``dso`` of their call path, NULL where unknown."""
-    paths = look_up(call_paths, "symbol_id", look_up(symbols, "dso_id", dsos, {"dso": "short_name"}), {
+    """Calls with ``symbol`` and ``dso`` of their call path, NULL where unknown. With ``keys`` all tables have them."""
+    paths = look_up(call_paths, "symbol_id", look_up(symbols, "dso_id", dsos, {"dso": "short_name"}, keys), {
         "symbol": "name",
         "dso": "dso",
-    })
-    return look_up(calls, "call_path_id", paths, {"symbol": "symbol", "dso": "dso"})
+    }, keys)
+    return look_up(calls, "call_path_id", paths, {"symbol": "symbol", "dso": "dso"}, keys)
 
 
 def calls_by_symbol(
-    calls: DataFrame, call_paths: DataFrame, symbols: DataFrame, dsos: DataFrame, name: str, dso: str = KERNEL
+    calls: DataFrame,
+    call_paths: DataFrame,
+    symbols: DataFrame,
+    dsos: DataFrame,
+    name: str,
+    dso: str = KERNEL,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Calls of one function of one binary, found from the symbol side so that the filter comes first."""
-    wanted = (
-        symbols.filter(F.col("name") == name)
-        .select(F.col("id").alias("symbol_id"), "dso_id")
-        .join(dsos.filter(F.col("short_name") == dso).select(F.col("id").alias("dso_id")), "dso_id")
+
+    def of(table: DataFrame, column: str, *columns: str) -> DataFrame:
+        group = [group_of(keys).alias("_group")] if keys else []
+        return table.select(*group, F.col("id").alias(column), *columns)
+
+    same = ["_group"] if keys else []
+    wanted = of(symbols.filter(F.col("name") == name), "symbol_id", "dso_id").join(
+        of(dsos.filter(F.col("short_name") == dso), "dso_id"), [*same, "dso_id"]
     )
-    paths = call_paths.join(wanted, "symbol_id").select(F.col("id").alias("call_path_id"))
-    return calls.join(paths, "call_path_id").select("id", "call_time", "return_time")
+    paths = of(call_paths, "call_path_id", "symbol_id").join(wanted, [*same, "symbol_id"])
+    found = calls.withColumn("_group", group_of(keys)) if keys else calls
+    found = found.join(paths.select(*same, "call_path_id"), [*same, "call_path_id"])
+    return found.select(*keys, "id", "call_time", "return_time")
 
 
 def stacks(calls: DataFrame, call_paths: DataFrame, symbols: DataFrame, dsos: DataFrame) -> DataFrame:
@@ -146,12 +160,84 @@ def full_syscalls(stack: DataFrame, view: View | None) -> DataFrame:
     )
 
 
+def marked_frames(named: DataFrame, view: View | DataFrame | None, keys: Sequence[str] = ()) -> DataFrame:
+    """Calls with symbols as frames, and whether they are ``seen``: have an end in view.
+
+    ``view`` is one window, a table of a window per combination of ``keys``, or None for the whole trace.
+    """
+    if isinstance(view, DataFrame):
+        named = join_groups(named, view, keys, "left")
+        seen = ends_inside(F.col("call_time"), F.col("return_time"), F.col("view_start"), F.col("view_end"))
+    elif view is not None:
+        seen = ends_inside(F.col("call_time"), F.col("return_time"), view.start, view.end)
+    else:
+        seen = F.lit(True)
+    seen = F.coalesce(seen, F.lit(False)).alias("seen")
+    return materialise(named.select(*keys, "id", "parent_id", "call_time", "return_time", "symbol", seen), "frames")
+
+
+def syscalls_of(frames: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """System calls among stored :func:`marked_frames`: as :func:`full_syscalls`, without stacks.
+
+    The frames of a stack that are seen form a chain of their own by their nearest seen ancestors. The shape is
+    tested link by link from the kernel entry inwards, each link an equi-join of ids on the few frames with the right
+    symbol. Nothing grows with the depth of the stacks.
+    """
+    rows = frames.select(group_of(keys).alias("_group"), "*")
+    seen = rows.filter("seen")
+    near = nearest_marked(frames, F.col("seen"), root=ROOT, keys=keys)
+    # The nearest seen frame above a seen one: of its parent, or where the parent is seen the parent itself.
+    above = near.select("_group", F.col("id").alias("parent_id"), F.col("at").alias("up"))
+    inner = None
+    for symbol in [*reversed(SYSCALL_SHAPE), None]:
+        named = seen.filter(F.col("id") != ROOT) if inner is not None else seen
+        if symbol is not None:
+            named = named.filter(F.col("symbol") == symbol)
+        step = named.select("_group", "id", "parent_id", "symbol", "call_time", "return_time")
+        if inner is None:
+            # Carried inwards: the times of the entry frame, and whether no frame is missing on the way.
+            times = [F.col("call_time").alias("_call"), F.col("return_time").alias("_return")]
+            inner = step.select("_group", F.col("id").alias("up"), *times, F.lit(True).alias("_direct"))
+            continue
+        linked = step.join(above, ["_group", "parent_id"]).join(inner.drop("symbol"), ["_group", "up"])
+        direct = F.col("_direct") & (F.col("up") == F.col("parent_id"))
+        inner = linked.select("_group", F.col("id").alias("up"), "symbol", "_call", "_return", direct.alias("_direct"))
+    groups = near.join(inner.withColumnRenamed("up", "at"), ["_group", "at"])
+    groups = materialise(groups.withColumn("_direct", F.col("_direct") & (F.col("id") == F.col("at"))), "syscalls")
+    shown = ["_group", "id", "symbol"]
+    straight = groups.filter("_direct").select(*shown, "_call", "_return")
+    bent = groups.filter("not _direct").select(*shown)
+    parts = [straight]
+    if not bent.isEmpty():
+        # Frames are missing in between: the entry frame is the fourth of the whole stack, if it is seen.
+        links = rows.select("_group", F.col("id").alias("_at"), F.col("parent_id").alias("_next"))
+        walked = bent.withColumn("_at", F.col("id"))
+        for _ in range(ENTRY_DEPTH):
+            walked = walked.join(links, ["_group", "_at"], "left")
+            walked = walked.withColumn("_at", F.when(F.col("_at") != ROOT, F.col("_next"))).drop("_next")
+        entry = seen.select("_group", F.col("id").alias("_at"), F.col("call_time").alias("_call"), F.col("return_time").alias("_return"))
+        parts.append(walked.join(entry, ["_group", "_at"], "left").select(*shown, "_call", "_return"))
+    return reduce(DataFrame.unionByName, parts).select(
+        *[F.col("_group")[k].alias(k) for k in keys],
+        F.col("_call").alias("call_time"),
+        F.col("_return").alias("return_time"),
+        F.col("symbol").alias("syscall_kernel_name"),
+        F.col("id").alias("call_id"),
+    )
+
+
 def following_calls(
-    first: DataFrame, second: DataFrame, first_prefix: str, second_prefix: str, rows_per_slice: int
+    first: DataFrame,
+    second: DataFrame,
+    first_prefix: str,
+    second_prefix: str,
+    rows_per_slice: int,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Pair each call of ``first`` with the next call of ``second`` that starts strictly later."""
     second = materialise(second, "calls-of-one")
     left = materialise(first, "calls-of-one").select(
+        *keys,
         F.col("id").alias(f"{first_prefix}_call_id"),
         F.col("call_time").alias(f"{first_prefix}_call_time"),
         F.col("return_time").alias(f"{first_prefix}_call_return_time"),
@@ -167,6 +253,7 @@ def following_calls(
             f"{second_prefix}_call_time": "call_time",
             f"{second_prefix}_call_return_time": "return_time",
         },
+        keys=keys,
         how="left",
         rows_per_slice=rows_per_slice,
     )
@@ -178,41 +265,50 @@ def kernel_context_switches(
     symbols: DataFrame,
     dsos: DataFrame,
     rows_per_slice: int = DEFAULT_SLICE_ROWS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Context switches seen through kernel calls, for traces without switch records."""
-    leaving = calls_by_symbol(calls, call_paths, symbols, dsos, SWITCH_FROM)
-    entering = calls_by_symbol(calls, call_paths, symbols, dsos, SWITCH_TO)
-    return following_calls(leaving, entering, "pts", "smio", rows_per_slice)
+    leaving = calls_by_symbol(calls, call_paths, symbols, dsos, SWITCH_FROM, keys=keys)
+    entering = calls_by_symbol(calls, call_paths, symbols, dsos, SWITCH_TO, keys=keys)
+    return following_calls(leaving, entering, "pts", "smio", rows_per_slice, keys)
 
 
-def switches_in_view(switches: DataFrame, view: View) -> DataFrame:
-    return switches.select(F.col("smio_call_time").alias("time")).filter(
-        F.col("time").between(view.start, view.end)
-    )
+def switches_in_view(switches: DataFrame, view: View | DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    if isinstance(view, DataFrame):
+        switches, bounds = join_groups(switches, view, keys), (F.col("view_start"), F.col("view_end"))
+    else:
+        bounds = (view.start, view.end)
+    return switches.filter(F.col("smio_call_time").between(*bounds)).select(*keys, F.col("smio_call_time").alias("time"))
 
 
-def timeline_marks(switches: DataFrame, syscalls: DataFrame, view: View) -> tuple[DataFrame, DataFrame]:
+def timeline_marks(
+    switches: DataFrame, syscalls: DataFrame, view: View | DataFrame, keys: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Points where on-CPU stretches can start and end: switches, and calls or returns."""
-    switch = switches_in_view(switches, view).select(
-        "time", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("call_id")
+    switch = switches_in_view(switches, view, keys).select(
+        *keys, "time", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("call_id")
     )
 
     def marks(column: str) -> DataFrame:
-        point = syscalls.select(F.col(column).alias("time"), F.col("syscall_kernel_name").alias("name"), "call_id")
+        point = syscalls.select(*keys, F.col(column).alias("time"), F.col("syscall_kernel_name").alias("name"), "call_id")
         return switch.unionByName(point)
 
     return marks("call_time"), marks("return_time")
 
 
 def on_cpu_syscalls(
-    switches: DataFrame, syscalls: DataFrame, view: View, rows_per_slice: int = DEFAULT_SLICE_ROWS
+    switches: DataFrame,
+    syscalls: DataFrame,
+    view: View | DataFrame,
+    rows_per_slice: int = DEFAULT_SLICE_ROWS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Stretches of a system call on the CPU: each start with the earliest strictly later end.
 
     Among ends at the same time a return wins over a switch, then the lowest call id.
     """
-    starts, ends = timeline_marks(switches, syscalls, view)
-    starts = starts.select(*[F.col(c).alias(f"starts_{c}") for c in ("time", "name", "call_id")])
+    starts, ends = timeline_marks(switches, syscalls, view, keys)
+    starts = starts.select(*keys, *[F.col(c).alias(f"starts_{c}") for c in ("time", "name", "call_id")])
     ends = ends.withColumn("_rank", F.coalesce("call_id", F.lit((1 << 63) - 1)))
     return asof_join(
         starts,
@@ -221,6 +317,7 @@ def on_cpu_syscalls(
         right_on="time",
         right_id="_rank",
         columns={"ends_time": "time", "ends_name": "name", "ends_call_id": "call_id"},
+        keys=keys,
         how="inner",
         rows_per_slice=rows_per_slice,
     )
