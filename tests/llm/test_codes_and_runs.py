@@ -166,6 +166,88 @@ def test_run_digests_with_planted_repeats(spark):
     assert collapse_runs(docs).columns == ["doc_id", "n_words", "runs", "collapsed"]
 
 
+# Shared hashes and column names ---------------------------------------------------------------------------
+
+
+def colliding_words():
+    """Two words that every sum of bytes times powers of an odd base modulo 2^64 confuses (a Thue-Morse pair)."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_with_equal_sums_stay_apart(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from traceloom.llm.common import Words
+    from traceloom.llm.encoder import WordEncoder
+    from traceloom.llm.near_dup import near_duplicates
+
+    a, b = colliding_words()
+    words = Words(pa.array([f"{a} {b} {a}."], pa.large_string()))
+    plain = (words.sums[words.ends] - words.sums[words.starts]) * words.down[words.starts]
+    assert plain[0] == plain[1]
+    assert words.hashes[0] != words.hashes[1]
+    assert words.hash(words.ends - np.array([0, 0, 1]))[2] == words.hashes[0]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [a, b, f"{a}, {b}. {a}"]
+    found = WordEncoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()) == [(1, 1, True), (2, 2, True), (3, 1, False)]
+
+
+def test_stages_keep_columns_with_dots(spark):
+    from traceloom.llm.decontamination import keep_clean
+    from traceloom.llm.near_dup import keep_representatives
+    from traceloom.llm.quality import keep_quality
+
+    rows = [(k, f"some words of text number {k} and {k * 7} more of them", k, "x") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `meta.lang` int, `a``b` string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    assert keep_quality(docs, labels, cut=0.0).collect() == docs.collect()
+    assert keep_representatives(docs).columns == docs.columns
+    left = keep_clean(docs, items).collect()
+    assert sorted(r["meta.lang"] for r in left) == [0, 1, 3, 4, 5, 6, 7] and left[0]["a`b"] == "x"
+
+
+def test_windows_of_a_document_equal_brute_force(spark):
+    """Every (document, item, window, similarity) over edited copies inside other text."""
+    from traceloom.llm.decontamination import Items, item_words
+    from traceloom.llm.common import shingle_hashes
+
+    rnd = random.Random(15)
+    word = lambda: f"w{rnd.randrange(400)}"
+    items = [" ".join(word() for _ in range(rnd.randint(20, 40))) for _ in range(12)]
+    index = Items(list(range(12)), items)
+    found = missed = 0
+    for k in range(200):
+        copy = [word() if rnd.random() < 0.02 else w for w in items[k % 12].split()]
+        words = item_words(" ".join([word() for _ in range(rnd.randrange(60))] + copy + [word() for _ in range(rnd.randrange(60))]))
+        got = {m[0]: m[1:] for m in index.matches(words, 0.8)}
+        shingles = shingle_hashes(words)
+        places = index.positions(shingles)
+        for item in range(12):
+            best = None
+            for length in sorted({len(item_words(t)) for t in items}):
+                length = min(length, len(words))
+                for at in range(len(words) - length + 1):
+                    span = slice(at, at + max(1, length - 4))
+                    value = index.similarity(places[span], shingles[span], item)
+                    if value >= 0.8 and (best is None or (-value, length, at) < best):
+                        best = (-value, length, at)
+            if best:
+                found += 1
+                missed += item not in got
+                if item in got:
+                    assert got[item] == (best[2], best[1], -best[0])
+            else:
+                assert item not in got
+    assert found > 100 and missed <= 1
+
+
 # Vector codes --------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, codes string, v int"
