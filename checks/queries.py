@@ -800,6 +800,11 @@ def _(f: Fixture) -> DataFrame:
     return found.select("thread_id", "cpu", "call_id", "overlap_start", "overlap_end")
 
 
+@query("on_cpu_time")
+def _(f: Fixture) -> DataFrame:
+    return overlays.on_cpu_time(f.context_switches, f.calls, SLICE_ROWS)
+
+
 @query("perf_overhead")
 def _(f: Fixture) -> DataFrame:
     return overlays.perf_overhead(

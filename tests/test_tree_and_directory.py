@@ -5,7 +5,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.operators import SliceDirectory, WidthSlices, asof_join, ordered_scan, quantile_slices, slice_directory
+from traceloom.operators import (
+    SliceDirectory,
+    WidthSlices,
+    asof_join,
+    ordered_scan,
+    overlap_totals,
+    quantile_slices,
+    slice_directory,
+)
 from traceloom.operators.tree import carried_over
 
 
@@ -142,3 +150,31 @@ def test_more_slices_than_literals_become_a_directory(spark):
     got = ordered_scan(df, "k", tie="t", sums={"n": "t"}, slices=quantile_slices(df, "k", rows_per_slice=5, tie="t"))
     assert got.filter(F.col("n") != F.col("t") * (F.col("t") + 1) / 2).count() == 0
     assert got.count() == 6000
+
+
+@pytest.mark.parametrize("rows_per_slice", [8, 10_000])
+def test_overlap_totals_equal_pairs(spark, rows_per_slice):
+    rnd = random.Random(rows_per_slice)
+    base = 1_700_000_000_000_000_000  # so that sums of points leave 64 bits
+
+    def rows(n, wide):
+        out = []
+        for i in range(n):
+            start = base + (50 if rnd.random() < 0.3 else rnd.randrange(100))
+            length = rnd.choice([0, 1, rnd.randrange(wide), rnd.randrange(wide), -3, None])
+            out.append((rnd.choice(["x", "x", "y", None]), i, start, None if length is None else start + length))
+        return out
+
+    a, b = rows(90, 40), rows(120, 80)
+    schema = "k string, {0}id long, {0}s long, {0}e long"
+    got = overlap_totals(
+        spark.createDataFrame(a, schema.format("a")), spark.createDataFrame(b, schema.format("b")), a_id="aid",
+        a_interval=("as", "ae"), b_interval=("bs", "be"), keys=["k"], rows_per_slice=rows_per_slice,
+    )
+    expected = []
+    for k, i, s, e in a:
+        if e is None or e < s:
+            continue
+        met = [(bs, be) for bk, _, bs, be in b if bk == k and be is not None and bs <= be and bs < e and s < be]
+        expected.append((k, i, len(met), sum(min(e, be) - max(s, bs) for bs, be in met)))
+    assert by_repr(tuple(r) for r in got.collect()) == by_repr(expected)

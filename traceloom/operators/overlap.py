@@ -1,4 +1,4 @@
-"""Interval-overlap join by dyadic cells."""
+"""Overlapping intervals: pairs by dyadic cells, totals without pairs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.operators.slices import group_of
+from traceloom.operators.ordered import ordered_scan
+from traceloom.operators.slices import DEFAULT_SLICE_ROWS, group_of, quantile_slices
+from traceloom.session import materialise
 
 LEVEL_STEP = 2
 
@@ -81,3 +83,66 @@ def _points_in(
     return pairs.filter(condition & overlap).select(
         "_a", "_b", "_a_start", "_a_end", "_b_start", "_b_end"
     )
+
+
+def overlap_totals(
+    a: DataFrame,
+    b: DataFrame,
+    *,
+    a_id: str,
+    a_interval: tuple[str, str],
+    b_interval: tuple[str, str],
+    keys: Sequence[str] = (),
+    rows_per_slice: int = DEFAULT_SLICE_ROWS,
+) -> DataFrame:
+    """For each interval of ``a``, with how many of ``b`` it overlaps within equal ``keys``, and for how long in sum.
+
+    ``keys``, ``a_id`` (an integer, unique within the keys), ``overlap_count``, ``overlap_total``. Intervals are half-open; those that
+    end before they start, or lack an end, overlap with nothing, and such rows of ``a`` are left out.
+
+    Pairs are never formed. Up to a point x, the intervals of ``b`` have covered x times their number less the sum of their
+    starts, less the same of those that ended: a sweep over all points keeps these sums, each interval of ``a`` asks at its two
+    ends, and takes the difference. Starts and ends of ``b`` at one point are one row. So the work is that of
+    the two inputs, however dense the overlaps are and however long an interval is.
+    """
+
+    def sound(df: DataFrame, interval: tuple[str, str], *columns: Column) -> DataFrame:
+        start, end = (F.col(c).cast("long") for c in interval)
+        rows = df.select(group_of(keys).alias("_of"), *columns, start.alias("_start"), end.alias("_end"))
+        return rows.filter("_start <= _end")
+
+    none = F.lit(None).cast("long")
+    decimal = "decimal(20,0)"
+
+    def point(sign: int, at: str) -> Column:
+        return F.struct(
+            F.col(at).alias("_x"), F.lit(sign).alias("_sign"),
+            F.lit(1 if sign > 0 else 0).cast("long").alias("_started"), F.lit(1 if sign < 0 else 0).cast("long").alias("_ended"),
+            (F.col(at) * sign).cast(decimal).alias("_moment"),
+        )
+
+    ends = sound(b, b_interval).select("_of", F.inline(F.array(point(1, "_start"), point(-1, "_end"))))
+    marks = ends.groupBy("_of", "_x", "_sign").agg(*[F.sum(c).cast(t).alias(c) for c, t in (("_started", "long"), ("_ended", "long"), ("_moment", "decimal(38,0)"))])
+    # At one point: what ends there has ended, what starts there has not started.
+    marks = marks.select("_of", "_x", (F.col("_sign") * F.lit(1 << 62)).alias("_tie"), none.alias("_a"), "_started", "_ended", "_moment")
+    zero = F.lit(0).cast("long")
+    asked = sound(a, a_interval, F.col(a_id).cast("long").alias("_a")).select(
+        "_of", "_a", F.inline(F.array(
+            F.struct(F.col("_start").alias("_x"), (F.col("_a") * 2).alias("_tie")),
+            F.struct(F.col("_end").alias("_x"), (F.col("_a") * 2 + 1).alias("_tie")),
+        ))
+    ).select("_of", "_x", "_tie", "_a", zero.alias("_started"), zero.alias("_ended"), zero.cast("decimal(38,0)").alias("_moment"))
+    points = materialise(marks.unionByName(asked), "sweep")
+    sums = {"_n_started": "_started", "_n_ended": "_ended", "_moments": "_moment"}
+    swept = ordered_scan(
+        points, "_x", tie="_tie", keys=["_of"], sums=sums,
+        slices=quantile_slices(points, "_x", rows_per_slice, keys=["_of"], tie="_tie"),
+    ).filter("_a is not null")
+    open_now = (F.col("_n_started") - F.col("_n_ended")).cast("decimal(18,0)")
+    covered = F.col("_x").cast(decimal) * open_now - F.col("_moments")
+    at_end = F.pmod("_tie", F.lit(2)) == 1
+    found = swept.groupBy("_of", "_a").agg(
+        F.sum(F.when(at_end, F.col("_n_started")).otherwise(-F.col("_n_ended"))).alias("overlap_count"),
+        F.sum(F.when(at_end, covered).otherwise(-covered)).cast("long").alias("overlap_total"),
+    )
+    return found.select(*[F.col("_of")[k].alias(k) for k in keys], F.col("_a").alias(a_id), "overlap_count", "overlap_total")

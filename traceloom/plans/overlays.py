@@ -17,6 +17,7 @@ from traceloom.operators import (
     join_groups,
     ordered_scan,
     overlap_join,
+    overlap_totals,
     quantile_slices,
 )
 from traceloom.operators.slices import DEFAULT_SLICE_ROWS, group_of
@@ -251,6 +252,24 @@ def thread_on_cpu_calls(
     )
 
 
+def on_cpu_time(
+    context_switches: DataFrame, calls: DataFrame, rows_per_slice: int = DEFAULT_SLICE_ROWS
+) -> DataFrame:
+    """Per call, in how many stretches its thread was on a CPU during it, and for how long in sum.
+
+    ``thread_id``, ``id``, ``overlap_count``, ``overlap_total``: the sums of :func:`thread_on_cpu_calls`, for calls without stretches too, and
+    without forming the pairs.
+    """
+    last = calls.agg(F.max("return_time")).scalar()
+    stretches = on_cpu_stretches(context_switches, rows_per_slice).withColumn(
+        "switch_out", F.coalesce("switch_out", F.greatest("switch_in", last))
+    )
+    return overlap_totals(
+        calls, materialise(stretches, "stretches"), a_id="id", a_interval=("call_time", "return_time"),
+        b_interval=("switch_in", "switch_out"), keys=["thread_id"], rows_per_slice=rows_per_slice,
+    )
+
+
 def perf_overhead(
     calls: DataFrame,
     call_paths: DataFrame,
