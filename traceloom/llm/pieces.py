@@ -26,7 +26,7 @@ ENDS = "\n\t"
 MARKS = ",.;:!?)]}'\"*-|&%$#@/_"
 #: Distinct units and pairs of tokens that a Python worker remembers: those met since it last held that many, and of units
 #: also those of the time before. A bound of memory only.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 350_000
 KEPT_PAIRS = 500_000
 #: Units longer than this are encoded each time: remembering them would take memory without being of use again.
 KEPT_LENGTH = 64
@@ -169,20 +169,22 @@ class PieceCodec:
         """The ids of a text as unsigned 32-bit integers."""
         if not text:
             return b""
-        known = self.known
-        out = []
-        for unit in self.unit.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(unit)
+        units = self.unit.findall(SPACE + text.replace(" ", SPACE))
+        out = list(map(self.known.get, units))
+        if None not in out:
+            return b"".join(out)
+        for at, ids in enumerate(out):
+            if ids is not None:
+                continue
+            unit = units[at]
+            ids = self.known.get(unit) or self.older.get(unit)
             if ids is None:
-                ids = self.older.get(unit)
-                if ids is None:
-                    ids = self._unit(unit)
-                if len(unit) <= KEPT_LENGTH:
-                    if len(known) >= KEPT_UNITS:
-                        self.older = known
-                        self.known = known = {}
-                    known[unit] = ids
-            out.append(ids)
+                ids = self._unit(unit)
+            if len(unit) <= KEPT_LENGTH:
+                if len(self.known) >= KEPT_UNITS:
+                    self.older, self.known = self.known, {}
+                self.known[unit] = ids
+            out[at] = ids
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -252,6 +254,13 @@ def codec(path: str) -> PieceCodec:
     return _codecs[path]
 
 
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The ids of each row; null is no ids."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    for a, b in zip(ends, ends[1:]):
+        yield values[a:b].tolist()
+
+
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids of each row of ``docs`` (doc_id, text): its token ids, without begin and end.
 
@@ -279,7 +288,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            texts = [own.decode(x or []) for x in batch.column("ids").to_pylist()]
+            texts = [own.decode(ids) for ids in id_lists(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decode, "doc_id long, text string")
@@ -293,7 +302,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
         own = codec(model)
         for batch in batches:
             n, ids_digest, text_digest = [], [], []
-            for ids in map(pa.ListScalar.as_py, batch.column("ids")):
+            for ids in id_lists(batch.column("ids")):
                 n.append(len(ids))
                 ids_digest.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_digest.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
