@@ -24,6 +24,9 @@ SLICE_ROWS = 4_000
 EVENT_KINDS = {1: "ptwrite", 2: "mwait", 3: "pwre", 4: "exstop", 5: "pwrx", 6: "cbr", 7: "branches"}
 BRANCH_TYPES = {1: "call", 2: "return", 3: "conditional jump", 4: "trace begin"}
 BRANCH_OF_EVENT = {"click": 1, "view": 2, "purchase": 3, "signup": 4}
+SWITCH_CALLS = (
+    "prepare_task_switch", "switch_mm_irqs_off", "__perf_event_task_sched_out", "perf_event_context_sched_out"
+)
 TRIAL_OF_EVENT = {
     "signup": "async",
     "click": "async_retcomp",
@@ -205,8 +208,8 @@ class Fixture:
             for i, name in enumerate(names)
         ]
         switch = [
-            frame(n * 2 + 10_000_000_000 + i, F.lit(0), t + 500 * i, t + 500 * i + 400, F.lit(name), 0)
-            for i, name in enumerate(("prepare_task_switch", "switch_mm_irqs_off"))
+            frame(n * 4 + 10_000_000_000 + i, F.lit(0), t + 500 * i, t + 500 * i + 400, F.lit(name), 0)
+            for i, name in enumerate(SWITCH_CALLS)
         ]
         made = F.when(F.col("event_type") == "purchase", F.array(*switch)).otherwise(F.array(*stack))
         return self.ev.select(n.alias("sample_id"), "user_id", "k", F.inline(made))
@@ -215,7 +218,7 @@ class Fixture:
     def symbols(self) -> DataFrame:
         types = self.ev.filter(F.col("event_type") != "purchase").select("event_type").distinct()
         called = types.select(F.concat(F.lit("__x64_sys_"), F.col("event_type")).alias("name"))
-        fixed = ["do_syscall_64", "entry_SYSCALL_64", "prepare_task_switch", "switch_mm_irqs_off", "x64_sys_call"]
+        fixed = ["do_syscall_64", "entry_SYSCALL_64", "x64_sys_call", *SWITCH_CALLS]
         names = called.unionByName(inline_rows(self.spark, [(name,) for name in fixed], "name"))
         # One row per event type: the numbering runs over a handful of rows.
         rows = names.agg(F.sort_array(F.collect_set("name")).alias("names")).select(

@@ -434,15 +434,18 @@ from (select *, lead(time) over (partition by cpu order by time, id) as until fr
 """
 BODIES["on_cpu_time"] = """
 select c.thread_id, c.id, count(s.time) as overlap_count,
-  cast(coalesce(sum(least(coalesce(s.until, c.return_time), c.return_time) - greatest(s.time, c.call_time)), 0) as bigint)
-    as overlap_total
+  cast(coalesce(sum(least(coalesce(s.until, c.return_time), c.return_time) - greatest(s.time, c.call_time))
+    filter (where s.time is not null), 0) as bigint) as overlap_total
 from calls as c left join (select *, lead(time) over (partition by cpu order by time, id) as until from context_switches) as s
   on c.thread_id = s.thread_in_id and s.time < c.return_time and (s.until is null or c.call_time < s.until)
 group by c.thread_id, c.id
 """
 BODIES["perf_overhead"] = """
+with leaves as (select call_time from calls join symbols on symbols.id = call_path_id
+  where name = '__perf_event_task_sched_out'),
+done as (select call_time from calls join symbols on symbols.id = call_path_id where name = 'perf_event_context_sched_out')
 select count(spent) as stretches, cast(sum(spent) as bigint) as total_ns, min(spent) as min_ns, max(spent) as max_ns
-from (select smio_call_time - pts_call_time as spent from switches)
+from (select d.call_time - l.call_time as spent from leaves as l asof left join done as d on d.call_time > l.call_time)
 """
 BODIES["transition_counts"] = """
 select from_state, branch_type_name as to_state, count(*) as transitions

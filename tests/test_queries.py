@@ -25,6 +25,12 @@ SAMPLE = [
     "interval_overlap_join",
     "log_normalize_stream",
     "event_aligned_ipc",
+    "trials_ipc_spans",
+    "trials_full_syscalls",
+    "publish_replace_recover",
+    "ipc_spans_ordered",
+    "log_normalize_files",
+    "on_cpu_time",
 ]
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not present")
 

@@ -222,6 +222,32 @@ def test_first_batch_decides_for_later_ones(spark, tmp_path):
     assert got == {(1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False, (2, 1): False, (3, 0): True}
 
 
+def test_decisions_stick_over_many_batches_and_restarts(spark, tmp_path):
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    ddl = "stream string, line_no long, command_index int, output_stream_name string, line string"
+
+    def arrive(batch):
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        lines = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(source)
+        normalise_stream(lines, folder, keys=["stream"], time=F.lit("now")).awaitTermination()
+
+    arrive([("a", 50, 0, "stdout", "plain"), (None, 9, 0, "stdout", FULL), (None, 8, 0, "stdout", None)])
+    run()
+    for n in range(6):  # lines that would decide otherwise, with lower numbers, in batches of their own
+        arrive([("a", 40 - n, 0, "stdout", FULL), (None, 7 - n, 0, "stdout", FULL), (f"s{n}", 0, 0, "stdout", FULL if n % 2 else "x")])
+    run()
+    arrive([("s1", -1, 0, "stdout", "x"), ("s2", -1, 0, "stdout", FULL), ("hot", 0, 0, "stdout", FULL)] + [("hot", i, 0, "stdout", "y") for i in range(1, 300)])
+    run()
+    got = spark.read.parquet(f"{folder}/output").collect()
+    assert len(got) == 3 + 18 + 302 and len({r.batch for r in got}) == 8
+    passes = {}
+    for r in got:
+        passes.setdefault(r.stream, set()).add(r.passes)
+    assert passes == {"a": {False}, None: {False}, "hot": {True}} | {f"s{n}": {bool(n % 2)} for n in range(6)}
+
+
 class Session:
     """A stand-in for a session, to see which folder is chosen."""
 

@@ -131,6 +131,20 @@ def test_asof_join_over_a_directory(spark, direction, allow_equal):
     assert by_repr((r.n, r.rid) for r in got.collect()) == by_repr(expected)
 
 
+@pytest.mark.parametrize("tie", ["id", None])
+def test_a_directory_orders_rows_it_was_not_made_for(spark, tie):
+    made = [(500, i) for i in range(200)] + [(0, 900), (1000, 901)]
+    directory = slice_directory(spark.createDataFrame(made, "k long, id long"), "k", tie=tie, rows_per_slice=10)
+    rnd = random.Random(6)
+    data = sorted((rnd.choice([500, rnd.randrange(-100, 1100)]), i * 3 - 400) for i in range(300))
+    df = spark.createDataFrame(data, "k long, id long")
+    got = ordered_scan(df, "k", tie="id", row_number="n", slices=directory if tie else None).select("k", "id", "n").collect()
+    assert sorted((r.k, r.id, r.n) for r in got) == [(k, i, n + 1) for n, (k, i) in enumerate(data)]
+    placed = directory.assign(df.withColumn("_group", F.lit(0)), "k", "s", F.col("id")).collect()
+    order = sorted((r.k, r.s) for r in placed)
+    assert all(a[1] <= b[1] for a, b in zip(order, order[1:]) if a[0] < b[0])
+
+
 def test_sparse_ids_scan_in_bounded_tasks(spark):
     """Each id has a slice of its own: the summaries are as many as the rows, and the tree still scans them."""
     rng = random.Random(1)

@@ -97,7 +97,7 @@ def overlap_totals(
 ) -> DataFrame:
     """For each interval of ``a``, with how many of ``b`` it overlaps within equal ``keys``, and for how long in sum.
 
-    ``keys``, ``a_id`` (an integer, unique within the keys), ``overlap_count``, ``overlap_total``. Intervals are half-open; those that
+    ``keys``, ``a_id`` (an integer of under 61 bits, unique within the keys), ``overlap_count``, ``overlap_total``. Intervals are half-open; those that
     end before they start, or lack an end, overlap with nothing, and such rows of ``a`` are left out.
 
     Pairs are never formed. Up to a point x, the intervals of ``b`` have covered x times their number less the sum of their
@@ -115,34 +115,41 @@ def overlap_totals(
     decimal = "decimal(20,0)"
 
     def point(sign: int, at: str) -> Column:
+        counts = {"_started": sign > 0, "_ended": sign < 0, "_points": sign == 0}
         return F.struct(
-            F.col(at).alias("_x"), F.lit(sign).alias("_sign"),
-            F.lit(1 if sign > 0 else 0).cast("long").alias("_started"), F.lit(1 if sign < 0 else 0).cast("long").alias("_ended"),
+            F.col(at).alias("_x"), F.lit(sign).cast("long").alias("_tie"),
+            *[F.lit(int(yes)).cast("long").alias(name) for name, yes in counts.items()],
             (F.col(at) * sign).cast(decimal).alias("_moment"),
         )
 
-    ends = sound(b, b_interval).select("_of", F.inline(F.array(point(1, "_start"), point(-1, "_end"))))
-    marks = ends.groupBy("_of", "_x", "_sign").agg(*[F.sum(c).cast(t).alias(c) for c, t in (("_started", "long"), ("_ended", "long"), ("_moment", "decimal(38,0)"))])
-    # At one point: what ends there has ended, what starts there has not started.
-    marks = marks.select("_of", "_x", (F.col("_sign") * F.lit(1 << 62)).alias("_tie"), none.alias("_a"), "_started", "_ended", "_moment")
-    zero = F.lit(0).cast("long")
+    # An interval without length covers nothing and is met where it lies strictly inside another.
+    both = F.array(point(1, "_start"), point(-1, "_end"))
+    marks = sound(b, b_interval).select("_of", F.inline(F.when(F.col("_start") == F.col("_end"), F.array(point(0, "_start"))).otherwise(both)))
+    counts = ["_started", "_ended", "_points"]
+    marks = marks.groupBy("_of", "_x", "_tie").agg(
+        *[F.sum(c).alias(c) for c in counts], F.sum("_moment").cast("decimal(38,0)").alias("_moment")
+    ).withColumn("_a", none)
+    # At one point an interval that ends asks before all marks there, one that starts after them.
     asked = sound(a, a_interval, F.col(a_id).cast("long").alias("_a")).select(
         "_of", "_a", F.inline(F.array(
-            F.struct(F.col("_start").alias("_x"), (F.col("_a") * 2).alias("_tie")),
-            F.struct(F.col("_end").alias("_x"), (F.col("_a") * 2 + 1).alias("_tie")),
+            F.struct(F.col("_start").alias("_x"), (F.col("_a") + (1 << 62)).alias("_tie")),
+            F.struct(F.col("_end").alias("_x"), (F.col("_a") - (1 << 62)).alias("_tie")),
         ))
-    ).select("_of", "_x", "_tie", "_a", zero.alias("_started"), zero.alias("_ended"), zero.cast("decimal(38,0)").alias("_moment"))
+    )
+    zero = F.lit(0).cast("long")
+    asked = asked.withColumns({c: zero for c in counts} | {"_moment": zero.cast("decimal(38,0)")})
     points = materialise(marks.unionByName(asked), "sweep")
-    sums = {"_n_started": "_started", "_n_ended": "_ended", "_moments": "_moment"}
     swept = ordered_scan(
-        points, "_x", tie="_tie", keys=["_of"], sums=sums,
+        points, "_x", tie="_tie", keys=["_of"], sums={f"_n{c}": c for c in [*counts, "_moment"]},
         slices=quantile_slices(points, "_x", rows_per_slice, keys=["_of"], tie="_tie"),
     ).filter("_a is not null")
     open_now = (F.col("_n_started") - F.col("_n_ended")).cast("decimal(18,0)")
-    covered = F.col("_x").cast(decimal) * open_now - F.col("_moments")
-    at_end = F.pmod("_tie", F.lit(2)) == 1
+    covered = F.col("_x").cast(decimal) * open_now - F.col("_n_moment")
+    at_end = F.col("_tie") < 0
+    met = F.sum(F.when(at_end, F.col("_n_started")).otherwise(-F.col("_n_ended")))
+    inside = F.sum(F.when(at_end, F.col("_n_points")).otherwise(-F.col("_n_points")))
     found = swept.groupBy("_of", "_a").agg(
-        F.sum(F.when(at_end, F.col("_n_started")).otherwise(-F.col("_n_ended"))).alias("overlap_count"),
+        (met + F.greatest(inside, F.lit(0))).alias("overlap_count"),
         F.sum(F.when(at_end, covered).otherwise(-covered)).cast("long").alias("overlap_total"),
     )
     return found.select(*[F.col("_of")[k].alias(k) for k in keys], F.col("_a").alias(a_id), "overlap_count", "overlap_total")

@@ -180,10 +180,12 @@ class SliceDirectory:
             number = F.when(F.col("_parts").isNotNull(), piece).otherwise(
                 floor_div(value, F.col("_width")) - F.col("_origin")
             )
+            # A cell of one value may meet others when the directory was made for other rows.
+            number = F.when(k < F.col("_value"), F.lit(-(1 << 62))).when(k > F.col("_value"), F.lit(1 << 62)).otherwise(number)
             none = F.lit(NO_KEY) if i == 0 else F.lit(0).cast("long")
             rows = rows.withColumns(
                 {f"_p{i}": F.coalesce(number, none), "_hot": F.col("_hot") | F.col("_parts").isNotNull()}
-            ).drop("_origin", "_width", "_by_tie", "_parts")
+            ).drop("_origin", "_width", "_by_tie", "_parts", "_value")
         numbers = [f"_p{i}" for i in range(len(self.tables))]
         slice_ = F.struct(*[F.col(n).alias(n[1:]) for n in numbers])
         return rows.withColumns({out: slice_, f"{out}_hot": F.col("_hot")}).drop("_hot", "_spread", *numbers)
@@ -219,6 +221,7 @@ def slice_directory(
         return cells.select(
             *path, width.alias("_width"), by_tie.alias("_by_tie"), parts.cast("long").alias("_parts"),
             floor_div(F.when(by_tie, F.col("min_t")).otherwise(F.col("min_k")), width).alias("_origin"),
+            F.when(by_tie | parts.isNotNull(), F.col("min_k")).alias("_value"),
         )
 
     top = materialise(entries(rows.groupBy("_group").agg(*extent), 1), "slices")
