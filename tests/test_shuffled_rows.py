@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from traceloom.operators import overlap_join, overlap_totals
+from traceloom.plans import timeline
 
 
 @pytest.fixture
@@ -53,3 +54,14 @@ def test_overlap_totals_leave_groups_without_intervals_out_of_the_sweep(spark, w
     found, shuffled = shuffled_rows(totals)
     assert sorted(found, key=lambda r: r[1]) == want
     assert shuffled < 3 * 2000
+
+
+def test_whole_traces_look_up_no_ancestors(spark, monkeypatch):
+    names = ["__x64_sys_a", *timeline.SYSCALL_SHAPE]
+    frames = [(4 * n + i, 4 * n + i + 1 if i < 3 else 0, n - i, n + i, name) for n in range(1, 50) for i, name in enumerate(names)]
+    named = spark.createDataFrame(
+        [(0, 0, 0, 0, None), *frames], "id long, parent_id long, call_time long, return_time long, symbol string"
+    )
+    monkeypatch.setattr(timeline, "nearest_marked", None)
+    found = timeline.syscalls_of(timeline.marked_frames(named, None))
+    assert sorted(tuple(r) for r in found.collect()) == [(n - 3, n + 3, "__x64_sys_a", 4 * n) for n in range(1, 50)]
