@@ -315,8 +315,8 @@ def self_times(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     timed = calls.select(
         group_of(keys).alias("_group"), "id", "parent_id", (F.col("return_time") - F.col("call_time")).alias("_taken")
     )
-    inner = timed.groupBy("_group", F.col("parent_id").alias("id")).agg(F.sum("_taken").alias("_inner"))
-    own = timed.filter(F.col("id") != ROOT).join(inner, ["_group", "id"], "left")
+    inner = timed.groupBy(F.col("parent_id").alias("id"), "_group").agg(F.sum("_taken").alias("_inner"))
+    own = timed.filter(F.col("id") != ROOT).join(inner, ["id", "_group"], "left")
     return own.select(
         "_group", "id", "parent_id", (F.col("_taken") - F.coalesce("_inner", F.lit(0))).alias("self_time")
     )
@@ -329,10 +329,8 @@ def call_path_table(named: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ``named`` are stored calls with symbols. Calls are told apart by digests of their paths; a path is
     never spelled out per call, and all that belongs to a path is added up before it gets a number.
     """
-    digests = materialise(
-        chain_digests(named, F.col("symbol"), root=ROOT, keys=keys), "call-digests"
-    )
-    own = self_times(named, keys).join(digests, ["_group", "id"])
+    digests = chain_digests(named, F.col("symbol"), root=ROOT, keys=keys)
+    own = self_times(named, keys).join(digests, ["id", "_group"])
     paths = own.groupBy("_group", "digest").agg(
         F.sum("self_time").alias("self_time"), F.count(F.lit(1)).alias("calls"), F.min_by("parent_id", "id").alias("_parent"),
         F.min("id").alias("_example"),
@@ -340,10 +338,12 @@ def call_path_table(named: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     paths = materialise(paths.withColumn("path_id", F.monotonically_increasing_id()), "call-paths")
     # The path above is that of the caller of any one call with this path.
     above = digests.select("_group", F.col("id").alias("_parent"), F.col("digest").alias("_above"))
+    above = above.join(paths.select("_group", "_parent"), ["_parent", "_group"], "left_semi")
     numbers = paths.select("_group", F.col("digest").alias("_above"), F.col("path_id").alias("parent_path_id"))
     symbols = named.select(group_of(keys).alias("_group"), F.col("id").alias("_example"), "symbol")
-    found = paths.join(above, ["_group", "_parent"], "left").join(numbers, ["_group", "_above"], "left")
-    found = found.join(symbols, ["_group", "_example"])
+    symbols = symbols.join(paths.select("_group", "_example"), ["_example", "_group"], "left_semi")
+    found = paths.join(above, ["_parent", "_group"], "left").join(numbers, ["_above", "_group"], "left")
+    found = found.join(symbols, ["_example", "_group"])
     return materialise(
         found.select(*[F.col("_group")[k].alias(k) for k in keys], "path_id", "parent_path_id", "symbol", "self_time", "calls"),
         "call-paths",
@@ -361,7 +361,7 @@ def folded_paths(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     spelled = chains.select(group_of(keys).alias("_group"), F.col("id").alias("path_id"), text.alias("path"))
     return (
         paths.withColumn("_group", group_of(keys))
-        .join(spelled, ["_group", "path_id"])
+        .join(spelled, ["path_id", "_group"])
         .groupBy(*keys, "path")
         .agg(F.sum("self_time").alias("self_time"), F.sum("calls").alias("calls"))
     )
