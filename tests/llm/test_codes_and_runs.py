@@ -248,6 +248,71 @@ def test_windows_of_a_document_equal_brute_force(spark):
     assert found > 100 and missed <= 1
 
 
+def test_work_for_a_planted_item(monkeypatch):
+    """Windows too light for the item are not fingerprinted; windows in which no shingle repeats are not verified one by one."""
+    from traceloom.llm.decontamination import Items, item_words
+
+    rnd = random.Random(16)
+    fresh = lambda n: " ".join(f"u{rnd.getrandbits(60)}" for _ in range(n))
+    texts = [fresh(n) for n in range(15, 60)]
+    index = Items(list(range(len(texts))), texts)
+    rows, single = [], []
+    near, similarity = Items.near, Items.similarity
+    monkeypatch.setattr(Items, "near", lambda self, prints: rows.append(len(prints)) or near(self, prints))
+    monkeypatch.setattr(Items, "similarity", lambda self, *a: single.append(1) or similarity(self, *a))
+    found = index.matches(item_words(f"{fresh(100)} {texts[40]} {fresh(100)}"), 0.8)
+    assert found == [(40, 100, 55, 1.0)]
+    # The item has 51 shingles: windows have 41 at least, 55 at most, and hold the item's to four fifths.
+    inside = lambda at, n: min(51, at + n) - max(0, at)
+    assert sum(rows) <= sum(inside(at, n) >= 0.7999 * n for n in range(41, 56) for at in range(-n, 51)) and not single
+
+
+def test_texts_of_a_slice_equal_brute_force():
+    """Every (text, item, window, similarity) where shingles repeat in windows, texts are short or hold no words."""
+    import pyarrow as pa
+
+    from traceloom.llm.common import NOT_ALNUM, Words, shingle_hashes
+    from traceloom.llm.decontamination import Items
+
+    rnd = random.Random(17)
+    word = lambda: f"w{rnd.randrange(300)}"
+    items = [" ".join(word() for _ in range(rnd.randint(12, 30))) for _ in range(8)]
+    loop = [word() for _ in range(7)]
+    items += [" ".join(loop * 3 + [word() for _ in range(6)]), " ".join(["ha"] * 12), "two words"]
+    index = Items(list(range(len(items))), items)
+    texts = [None, "", "two words", "Two, WORDS!", "w1", "two words more than items hold"]
+    for k in range(120):
+        copy = [word() if rnd.random() < 0.02 else w for w in items[k % 10].split()]
+        lead = rnd.choice([[], loop * 2, ["ha"] * 7, [word() for _ in range(rnd.randrange(30))]])
+        texts.append(" ".join(lead + copy + copy[: rnd.randrange(len(copy))] + lead))
+    slice_words = Words(pa.array([t or "" for t in texts], pa.large_string()), NOT_ALNUM)
+    got = dict(index.search(slice_words.hashes, slice_words.at, 0.8))
+    found = missed = 0
+    for k in range(len(texts)):
+        words = slice_words.hashes[slice_words.at[k] : slice_words.at[k + 1]]
+        shingles = shingle_hashes(words)
+        places = index.positions(shingles)
+        mine = {m[0]: m[1:] for m in got.get(k, [])}
+        for item in range(len(items)):
+            best = None
+            for length in sorted({min(n, len(words)) for n in index.words}) if len(words) else ():
+                if (length < 5) != (len(words) < 5):
+                    continue  # shingles are those of the whole text: of five words, or the whole of it
+                for at in range(len(words) - length + 1):
+                    span = slice(at, at + max(1, length - 4))
+                    value = index.similarity(places[span], shingles[span], item)
+                    if value >= 0.8 and (best is None or (-value, length, at) < best):
+                        best = (-value, length, at)
+            if best:
+                found += 1
+                missed += item not in mine
+                if item in mine:
+                    assert mine[item] == (best[2], best[1], -best[0])
+            else:
+                assert item not in mine
+    assert found > 80 and missed <= 1
+
+
 # Vector codes --------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, codes string, v int"

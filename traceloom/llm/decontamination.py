@@ -4,7 +4,8 @@ Every window of a document that is as long as some benchmark item gets a weighte
 A multi-index over the items' fingerprints finds all items within ``RADIUS`` bits: fingerprints are cut into ``BITS`` / 8 blocks
 of 8 bits, and two fingerprints within the radius agree in some block up to RADIUS // blocks bits. Candidates are
 then verified by the exact weighted similarity of their shingles. Windows in which the shingles of all items weigh less than
-the threshold's share cannot reach it with any item and are not fingerprinted.
+the threshold's share cannot reach it with any item and are not fingerprinted; shingles of items too heavy for the window
+do not count there.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BLOCKS = BITS // 8
 RADIUS = 31
 #: Benchmark text that one pass over the documents compares with; a larger benchmark takes several passes.
 PASS_BYTES = 32 << 20
+#: Pairs of windows and items that one look-up in the multi-index forms for a block at most.
+PAIRS = 1 << 22
 NEAR = np.array([0] + [1 << k for k in range(8)], np.uint8)  # the 9 values within one bit of a block's
 
 
@@ -40,6 +43,15 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+def repeats(shingles: np.ndarray) -> np.ndarray:
+    """For each place the first one at which a shingle comes again that also lies at or after the given place."""
+    order = np.argsort(shingles, kind="stable")
+    again = np.full(len(shingles), len(shingles), np.int64)
+    same = np.flatnonzero(shingles[order[1:]] == shingles[order[:-1]])
+    again[order[same]] = order[same + 1]
+    return np.minimum.accumulate(again[::-1])[::-1]
+
+
 class Benchmark(NamedTuple):
     """What weights and windows need of all items: how many have words, the shingles that several hold, the items' lengths."""
 
@@ -106,6 +118,10 @@ class Items:
         self.weights = np.round(np.log1p(whole.count / frequency) * 2**24) / 2**24
         self.other = float(np.round(np.log1p(whole.count) * 2**24) / 2**24)
         self.sets = [(np.searchsorted(self.known, d), float(self.weights[np.searchsorted(self.known, d)].sum())) for d in distinct]
+        # The weight of the lightest item of this part that holds a shingle.
+        self.lightest = np.full(len(self.known), np.inf)
+        for mine, total in self.sets:
+            self.lightest[mine] = np.minimum(self.lightest[mine], total)
         # Bit distances follow the squares of the factors of the signs, similarity the plain weights: hence the roots.
         # Sums of 32-bit roots are exact in 64 bits, so equal windows have equal fingerprints wherever they lie.
         self.roots = np.sqrt(self.weights).astype(np.float32)
@@ -132,20 +148,22 @@ class Items:
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (row, item) whose fingerprints differ in at most RADIUS bits."""
-        rows, items = [], []
+        ours, theirs = prints.view(np.uint64), self.prints.view(np.uint64)
+        pairs = []
         for block in range(BLOCKS):
             values = (prints[:, block, None] ^ NEAR[None, :]).astype(np.int64) + 256 * block
             first, last = self.starts[values].ravel(), self.starts[values + 1].ravel()
             sizes = last - first
             row = np.repeat(np.repeat(np.arange(len(prints)), len(NEAR)), sizes)
             item = self.holders[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-            rows.append(row)
-            items.append(item)
-        pairs = np.unique(np.concatenate(rows) * self.count + np.concatenate(items))
-        row, item = pairs // self.count, pairs % self.count
-        distance = np.bitwise_count(prints[row] ^ self.prints[item]).sum(axis=1)
-        keep = distance <= RADIUS
-        return row[keep], item[keep]
+            # Distances come before the blocks' pairs are brought together: few pairs are left to be told apart.
+            distance = np.zeros(len(row), np.uint8)
+            for k in range(ours.shape[1]):
+                distance += np.bitwise_count(ours[row, k] ^ theirs[item, k])
+            keep = distance <= RADIUS
+            pairs.append(row[keep] * self.count + item[keep])
+        pairs = np.unique(np.concatenate(pairs))
+        return pairs // self.count, pairs % self.count
 
     def similarity(self, places: np.ndarray, shingles: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of a window's shingles (with their places) and an item's."""
@@ -159,9 +177,28 @@ class Items:
     def matches(self, words: np.ndarray, threshold: float) -> list[tuple]:
         """(item, first word, words, similarity) of the best window for each item in a document."""
         shingles = shingle_hashes(words)
-        if not len(shingles):
-            return []
+        return self._best(shingles, self.positions(shingles), len(words), threshold) if len(shingles) else []
+
+    def search(self, words: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple]]]:
+        """(text, its matches) for texts of a slice, of which text i has the words at[i]..at[i+1].
+
+        Shingles are looked up for all texts at once; those that reach into the next text belong to none.
+        """
+        shingles = shingle_hashes(words)
         places = self.positions(shingles)
+        held = np.append(0, np.cumsum((places >= 0) & self.own[places]))
+        first, last = at[:-1], at[1:]
+        ends = np.minimum(np.maximum(last - 4, first), len(shingles))
+        hits = held[ends] - held[np.minimum(first, len(shingles))]
+        short = (last > first) & (last - first < 5)
+        for i in np.flatnonzero((hits > 0) | short).tolist():
+            a, b = int(first[i]), int(last[i])
+            if short[i]:
+                yield i, self.matches(words[a:b], threshold)
+            else:
+                yield i, self._best(shingles[a : b - 4], places[a : b - 4], b - a, threshold)
+
+    def _best(self, shingles: np.ndarray, places: np.ndarray, total: int, threshold: float) -> list[tuple]:
         hits = np.flatnonzero((places >= 0) & self.own[places])
         if not len(hits):
             return []
@@ -172,17 +209,21 @@ class Items:
         for group in np.split(hits, cuts):
             low, high = max(0, int(group[0]) - reach), min(len(shingles), int(group[-1]) + reach + 1)
             for at in range(low, high, 4096):  # bounded parts, overlapping by the longest window
-                self._region(at, min(high, at + 4096 + reach), places, shingles, len(words), threshold, best)
+                self._region(at, min(high, at + 4096 + reach), places, shingles, total, threshold, best)
         return [(self.names[i], *found) for i, found in best.items()]
 
     def _region(self, low, high, places, shingles, total, threshold, best) -> None:
         local, mine = places[low:high], shingles[low:high]
         weight = np.where(local >= 0, self.weights[local], self.other)
-        # A window can only reach the threshold if the shingles that items of this part hold make up that share of its weight.
-        # Where a shingle repeats, sums are no bound of a set's weight: then one such shingle is enough.
-        held = np.append(0, np.cumsum(np.where((local >= 0) & self.own[local], weight, 0)))
+        ours = (local >= 0) & self.own[local]
+        repeat = repeats(mine)
+        # A window can only reach the threshold if the shingles that items of this part hold make up that share of its weight,
+        # and only with items whose weight it makes up that share of. Where a shingle repeats in a window, sums are no
+        # bound of its set's weight: then one such shingle is enough.
+        held = np.append(0, np.cumsum(np.where(ours, weight, 0)))
         weights = np.append(0, np.cumsum(weight))
-        least = threshold - 1e-4 if len(np.unique(mine)) == len(mine) else 0.0
+        least = threshold - 1e-4
+        lightest = np.where(ours, self.lightest[local] * least, np.inf)
         windows = []
         for length in self.lengths.tolist():
             # A document shorter than the item is one window; a window of fewer than five words is one shingle.
@@ -190,8 +231,13 @@ class Items:
             span = max(1, length - 4)
             if span > high - low or (total < 5) != (length < 5):
                 continue
-            inside = held[span:] - held[:-span]
-            starts = np.flatnonzero((inside > 1e-9) & (inside >= least * (weights[span:] - weights[:-span])))
+            inside, whole = held[span:] - held[:-span], weights[span:] - weights[:-span]
+            share = np.where(repeat[: len(whole)] < np.arange(span, len(weights)), 0, least * whole)
+            if not ((inside > 1e-9) & (inside >= share)).any():
+                continue
+            fit = np.append(0, np.cumsum(np.where(lightest <= whole.max(), weight, 0)))
+            inside = fit[span:] - fit[:-span]
+            starts = np.flatnonzero((inside > 1e-9) & (inside >= share))
             if len(starts):
                 windows.append(np.stack((starts, np.full(len(starts), span), np.full(len(starts), length)), axis=1))
         if not windows:
@@ -206,17 +252,36 @@ class Items:
         root = np.where(local[covered] >= 0, self.roots[local[covered]], self.other_root)
         sums = np.zeros((len(covered) + 1, BITS), np.float64)
         np.cumsum(signs(mine[covered]) * root[:, None], axis=0, out=sums[1:])
-        for at in range(0, len(starts), 4096):
-            a, b = starts[at : at + 4096], spans[at : at + 4096]
-            row, item = self.near(fingerprints(sums[place[a + b]] - sums[place[a]]))
-            for r, i in zip(row.tolist(), item.tolist()):
-                begin, end = int(a[r]), int(a[r] + b[r])
-                similarity = self.similarity(local[begin:end], mine[begin:end], i)
-                new = (low + begin, int(lengths[at + r]), similarity)
-                # Of equally similar windows the shortest, then the first one, in whichever region it lies.
-                if similarity >= threshold and (i not in best or (-similarity, new[1], new[0]) < (-best[i][2], best[i][1], best[i][0])):
+        rows = min(4096, max(1, PAIRS // self.count))
+        for at in range(0, len(starts), rows):
+            a, b = starts[at : at + rows], starts[at : at + rows] + spans[at : at + rows]
+            row, item = self.near(fingerprints(sums[place[b]] - sums[place[a]]))
+            value = self._similarities(local, mine, weight, weights, repeat, a[row], b[row], item)
+            keep = np.flatnonzero(value >= threshold)
+            row, item, value = row[keep], item[keep], value[keep]
+            begin, length = low + a[row], lengths[at + row]
+            # Of equally similar windows the shortest, then the first one, in whichever region it lies.
+            order = np.lexsort((begin, length, -value, item))
+            for k in order[np.diff(item[order], prepend=-1) > 0].tolist():
+                i, new = int(item[k]), (int(begin[k]), int(length[k]), float(value[k]))
+                if i not in best or (-new[2], new[1], new[0]) < (-best[i][2], best[i][1], best[i][0]):
                     best[i] = new
 
+    def _similarities(self, local, mine, weight, weights, repeat, begin, end, item) -> np.ndarray:
+        """``similarity`` of windows of a region and items; by sums along the region where no shingle of a window repeats."""
+        value = np.zeros(len(item))
+        order = np.argsort(item, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else ():
+            own, total = self.sets[item[group[0]]]
+            a, b = begin[group], end[group]
+            low, high = int(a.min()), int(b.max())
+            common = np.append(0, np.cumsum(np.where(np.isin(local[low:high], own), weight[low:high], 0)))
+            common = common[b - low] - common[a - low]
+            value[group] = common / (weights[b] - weights[a] + total - common)
+            for k in group[repeat[a] < b].tolist():
+                value[k] = self.similarity(local[begin[k] : end[k]], mine[begin[k] : end[k]], int(item[k]))
+        return value
+
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best window of a document for each item it holds.
@@ -250,9 +315,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                 names = batch.column("doc_id").to_pylist()
                 for first, texts in slices(batch.column("text")) if items.count else ():
                     words = Words(texts, NOT_ALNUM)
-                    at = words.at.tolist()
-                    for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                        found += [(names[first + i], *m) for m in items.matches(words.hashes[a:b], threshold)]
+                    for i, matches in items.search(words.hashes, words.at, threshold):
+                        found += [(names[first + i], *m) for m in matches]
                 types = [pa.int64()] * 4 + [pa.float64()]
                 columns = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
